@@ -5,13 +5,19 @@ from __future__ import annotations
 from .bpe_count import op6_token_counts
 from .bpe_prefix import op8_prefix_bpe
 from .packing import op9_packing
+from .quality_bt import op1_bradley_terry
+from .quality_rules import op10_quality_rules
 from .simple8b import op2_simple8b
+from .toxicity_gbt import op5_toxicity
 
 QUERIES = {
+    "op1_bradley_terry": op1_bradley_terry,
     "op2_simple8b": op2_simple8b,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_packing": op9_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}

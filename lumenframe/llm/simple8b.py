@@ -46,12 +46,13 @@ TRIED = [s for s in range(1, 15)]
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits that each id needs, at least one."""
-    width = np.ones(len(ids), np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        big = (ids >> (width - 1).astype(np.uint64)) >> np.uint64(step) > 0
-        width[big] += step
-    return width
+    """Bits that each id needs, at least one; 61 for any that is too wide for a word."""
+    wide = ids >> np.uint64(60) > 0
+    # below 2**60 a double's exponent is the bit length, or one more just below a power of two, which only costs room
+    width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    width = np.minimum(np.maximum(width, 1), 60)
+    width[wide] = 61
+    return width.astype(np.uint8)
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,21 +61,20 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    width = _widths(ids)
-    # widest[k]: the largest width among the 2**k ids from each place on
-    widest = [width]
-    while 2 ** len(widest) <= min(60, n):
+    # widest[k]: the largest width among the 2**k ids from each place on, as far as any selector asks
+    widest = [_widths(ids)]
+    least = int(widest[0].min())
+    tried = [s for s in TRIED if BITS[s] >= least and COUNT[s] <= n]
+    while tried and 2 ** len(widest) <= COUNT[tried[0]]:
         last, half = widest[-1], 2 ** (len(widest) - 1)
         widest.append(np.maximum(last[:-half], last[half:]))
-    selector = np.zeros(n, np.int64)
-    for s in reversed(TRIED):
+    selector = np.zeros(n, np.uint8)
+    for s in reversed(tried):
         count = int(COUNT[s])
-        if count > n:
-            continue
         k = count.bit_length() - 1
-        run = widest[k]
-        most = np.maximum(run[: n - count + 1], run[count - 2**k : count - 2**k + n - count + 1])
-        selector[: n - count + 1][most <= BITS[s]] = s
+        run, more = widest[k], count - 2**k
+        most = np.maximum(run[: n - count + 1], run[more : more + n - count + 1]) if more else run[: n - count + 1]
+        np.putmask(selector[: n - count + 1], most <= BITS[s], s)
     step, starts, i = COUNT[selector].tolist(), [], 0
     while i < n:
         starts.append(i)
@@ -87,8 +87,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s == 0:
             words[rows] |= np.arange(len(rows), dtype=np.uint64)
             continue
+        first, packed = at[rows], words[rows]
         for j in range(int(COUNT[s])):
-            words[rows] |= ids[at[rows] + j] << np.uint64(j * int(BITS[s]))
+            packed |= ids[first + j] << np.uint64(j * int(BITS[s]))
+        words[rows] = packed
     return words, ids[at[chosen == 0]]
 
 

@@ -23,6 +23,8 @@ CACHE_PIECES = 500_000
 CALL_TEXTS = 4096
 #: Pieces joined into one text.
 JOINED = 500
+#: Signs that end a word and are matches of their own.
+STOPS = ".,"
 #: How the byte-level vocabulary writes a space and a line break.
 SPACE_SIGNS = "\u0120\u010a"
 
@@ -58,6 +60,7 @@ class PieceEncoder:
         #: texts that hold one of these are encoded whole
         self.whole = (*(x.content for x in self.tokenizer.get_added_tokens_decoder().values()), "\x00")
         self.known: dict[str, bytes] = {}
+        self.stops = dict(zip(STOPS, self._library(list(STOPS)), strict=True))
         #: whether a token starts with a space or line break, by id
         self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -103,8 +106,14 @@ class PieceEncoder:
             cut.append(parts)
         if new:
             heads &= new
-            order = list(new - heads)
+            new -= heads
+            # letters and one full stop or comma: two matches of the pattern, so the word itself is looked up
+            stopped = [p for p in new if p[-1] in STOPS and p[:-1].isalpha()]
+            new.difference_update(stopped)
+            new |= {p[:-1] for p in stopped}.difference(known)
+            order = list(new)
             known.update(zip(order, self._apart([p if p[0] == "\n" else f" {p}" for p in order]), strict=True))
+            known.update([(p, known[p[:-1]] + self.stops[p[-1]]) for p in stopped])
             order = list(heads)
             known.update(zip(order, self._library([p[1:] for p in order]), strict=True))
         return [self._library([t])[0] if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, cut, strict=True)]
