@@ -8,11 +8,14 @@ from .packing import op9_packing
 from .quality_bt import op1_bradley_terry
 from .quality_rules import op10_quality_rules
 from .simple8b import op2_simple8b
+from .topk_bond import SQL as OP4_SQL
+from .topk_bond import op4_top_k
 from .toxicity_gbt import op5_toxicity
 
 QUERIES = {
     "op1_bradley_terry": op1_bradley_terry,
     "op2_simple8b": op2_simple8b,
+    "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op8_prefix_bpe": op8_prefix_bpe,
@@ -20,4 +23,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_top_k": OP4_SQL}

@@ -11,6 +11,7 @@ strings) goes to the library whole. Little-endian machines are assumed.
 
 from __future__ import annotations
 
+import gc
 import os
 from array import array
 from functools import lru_cache
@@ -92,6 +93,15 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the pieces that are new go to the library together."""
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects and no cycles
+        try:
+            return self._encode_many(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
         known, new, heads, cut = self.known, set(), set(), []
         if len(known) > CACHE_PIECES:
             known.clear()
