@@ -8,6 +8,7 @@ from .packing import op9_packing
 from .quality_bt import op1_bradley_terry
 from .quality_rules import op10_quality_rules
 from .simple8b import op2_simple8b
+from .simhash_vptree import op3_simhash
 from .topk_bond import SQL as OP4_SQL
 from .topk_bond import op4_top_k
 from .toxicity_gbt import op5_toxicity
@@ -15,6 +16,7 @@ from .toxicity_gbt import op5_toxicity
 QUERIES = {
     "op1_bradley_terry": op1_bradley_terry,
     "op2_simple8b": op2_simple8b,
+    "op3_simhash": op3_simhash,
     "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
