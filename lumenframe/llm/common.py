@@ -53,10 +53,24 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: later steps neither recompute it nor depend on any one executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    # its shuffle files go when the table is whole: nothing else reads them
+    clean, was = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    try:
+        was = spark.conf.get(clean, None)
+        spark.conf.set(clean, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, was) if was is not None else spark.conf.unset(clean)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(spark: SparkSession, table: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing reads any more."""
+    for file in table.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc32_mod(column: str, n: int):
     """crc32 of the id as text, modulo n: decides which labelled rows are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

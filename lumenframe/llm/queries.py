@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bpe_count import op6_token_counts
 from .bpe_prefix import op8_prefix_bpe
+from .fm_dedup import SQL as OP7_SQL
+from .fm_dedup import op7_substring_dedup
 from .packing import op9_packing
 from .quality_bt import op1_bradley_terry
 from .quality_rules import op10_quality_rules
@@ -20,9 +22,10 @@ QUERIES = {
     "op4_top_k": op4_top_k,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL = {"op4_top_k": OP4_SQL}
+ORACLE_SQL = {"op4_top_k": OP4_SQL, "op7_substring_dedup": OP7_SQL}
