@@ -184,7 +184,10 @@ def verdict(names: dict[str, str], cutoffs: dict[tuple[int, str], float]) -> Col
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
     signals, names = with_signals(docs)
-    return signals.filter(verdict(names, calibrate(docs, labels))).select(*(signals[f"`{c}`"] for c in docs.columns))
+    kept = own_name(signals, "_kept")
+    # a filter on the verdict itself would be pushed below the columns it is made of and compute them again and again
+    judged = signals.select("*", F.explode(F.array(verdict(names, calibrate(docs, labels)))).alias(kept))
+    return judged.filter(F.col(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
