@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import tpch
+from . import aggregates, relational, scalars, storage, tpch, windows
 
-MODULES = (tpch,)
+MODULES = (tpch, relational, windows, scalars, aggregates, storage)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
