@@ -18,8 +18,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces remembered by one Python worker: about 120 MB.
-CACHE_PIECES = 500_000
+#: Pieces in one of the two generations that a Python worker remembers: about 100 MB.
+CACHE_PIECES = 450_000
 #: Texts given to the library in one call.
 CALL_TEXTS = 4096
 #: Pieces joined into one text.
@@ -61,6 +61,7 @@ class PieceEncoder:
         #: texts that hold one of these are encoded whole
         self.whole = (*(x.content for x in self.tokenizer.get_added_tokens_decoder().values()), "\x00")
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.stops = dict(zip(STOPS, self._library(list(STOPS)), strict=True))
         #: whether a token starts with a space or line break, by id
         self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
@@ -104,7 +105,9 @@ class PieceEncoder:
     def _encode_many(self, texts: list[str]) -> list[bytes]:
         known, new, heads, cut = self.known, set(), set(), []
         if len(known) > CACHE_PIECES:
-            known.clear()
+            # what is still in use comes back from the generation before without being encoded again
+            self.before, self.known = known, {}
+            known = self.known
         for text in texts:
             parts = pieces(text, self.whole) if text else []
             if parts:
@@ -115,6 +118,11 @@ class PieceEncoder:
                 new |= set(parts).difference(known)
             cut.append(parts)
         if new:
+            before = self.before
+            if before:
+                again = [p for p in new if p in before]
+                known.update([(p, before[p]) for p in again])
+                new.difference_update(again)
             heads &= new
             new -= heads
             # letters and one full stop or comma: two matches of the pattern, so the word itself is looked up
