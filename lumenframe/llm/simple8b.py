@@ -74,8 +74,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = count.bit_length() - 1
         run, more = widest[k], count - 2**k
         most = np.maximum(run[: n - count + 1], run[more : more + n - count + 1]) if more else run[: n - count + 1]
-        np.putmask(selector[: n - count + 1], most <= BITS[s], s)
-    step, starts, i = COUNT[selector].tolist(), [], 0
+        fits = most <= BITS[s]
+        if fits.any():
+            np.putmask(selector[: n - count + 1], fits, s)
+    step, starts, i = COUNT.astype(np.uint8)[selector].tobytes(), [], 0
     while i < n:
         starts.append(i)
         i += step[i]
@@ -194,8 +196,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     return sorted((f.part, f.path, f.n_docs, f.n_ids) for f in files)
 
 
-def read_token_files(spark, files: list[tuple[int, str, int, int]]) -> DataFrame:
-    """One row for each document in the files: doc_id, start, n_tokens, ids_crc32, ids (little-endian uint32 bytes)."""
+def read_token_files(spark, files: list[tuple[int, str, int, int]], with_ids: bool = True) -> DataFrame:
+    """One row for each document in the files: doc_id, start, n_tokens, ids_crc32, and ids (little-endian uint32 bytes) unless they are not asked for."""
     rows, start = [], 0
     for _, path, n_docs, n_ids in files:
         if n_docs:
@@ -211,14 +213,16 @@ def read_token_files(spark, files: list[tuple[int, str, int, int]]) -> DataFrame
                         docs, counts, ids = read_block(file, offset)
                         ends = np.cumsum(counts.astype(np.int64))
                         starts = ends - counts
-                        blobs = [ids[i:j].astype("<u4").tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(docs, mask=docs == NO_ID), pa.array(starts + before + base), pa.array(counts.astype(np.int64)),
-                            pa.array([crc32_of(b) for b in blobs], pa.int64()), pa.array(blobs, pa.binary()),
-                        ], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                        raw = memoryview(ids.astype("<u4").tobytes())
+                        blobs = [raw[4 * i : 4 * j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+                        columns = [pa.array(docs, mask=docs == NO_ID), pa.array(starts + before + base), pa.array(counts.astype(np.int64)), pa.array([crc32_of(b) for b in blobs], pa.int64())]
+                        names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                        if with_ids:
+                            columns, names = [*columns, pa.array([bytes(b) for b in blobs], pa.binary())], [*names, "ids"]
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     paths = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
-    return paths.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return paths.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op2_simple8b(spark, sf_dir: str) -> DataFrame:
@@ -226,4 +230,4 @@ def op2_simple8b(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 
     files = write_token_files(documents(spark, sf_dir), shared_dir(spark), vocabulary_path("byte_bpe_50k.json"))
-    return read_token_files(spark, files).drop("ids")
+    return read_token_files(spark, files, with_ids=False)
