@@ -15,6 +15,7 @@ like any other; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -160,14 +161,25 @@ class TextEncoder:
         self.bpe = PrefixBPE(load_ranks(path))
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         #: how each id is written
         self.decimal = {i: str(i) for i in self.bpe.bytes_of}
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; the pieces that are new are encoded together, in order."""
-        known, findall, cut = self.known, self.pattern.findall, []
-        if len(known) > CACHE_PIECES:
-            known.clear()
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects and no cycles
+        try:
+            return self._encode_many(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str]) -> list[list[int]]:
+        if len(self.known) > CACHE_PIECES:
+            # what is still in use comes back from the generation before without being encoded again
+            self.before, self.known = self.known, {}
+        known, before, findall, cut = self.known, self.before, self.pattern.findall, []
         new: dict[str, list[str]] = {}
         for text in texts:
             parts = pieces(text, ("\x00",)) if text else []
@@ -179,6 +191,9 @@ class TextEncoder:
                 if parts[0][0] != "\n":
                     parts[0] = "\x00" + parts[0]
                 for p in set(parts).difference(known).difference(new):
+                    if p in before:
+                        known[p] = before[p]
+                        continue
                     new[p] = findall(p[1:] if p[0] == "\x00" else p if p[0] == "\n" else f" {p}")
             cut.append(parts)
         if new:
