@@ -13,6 +13,8 @@ QUERIES, ORACLE_SQL = R.queries, R.oracle
 
 # scans, filters, projections
 R.sql("scan_filter_project", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q2 FROM {lineitem} WHERE l_quantity < 5 AND l_discount > 0.01 AND l_orderkey + l_partkey < 5000")
+# the same scan with a remaining filter whose share is the same at every scale
+R.sql("scan_filter_project_all", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q2 FROM {lineitem} WHERE l_quantity < 5 AND l_discount > 0.01 AND l_extendedprice * l_discount < 200")
 R.sql("values_source", "SELECT a, b FROM (VALUES (1, 'x'), (2, NULL), (NULL, 'z')) AS t(a, b)")
 
 # joins
@@ -62,6 +64,14 @@ def join_range(t):
     return op.range_join(points, spans, "x", "lo", "hi", width=2.0).groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
+@R.add("join_range_all", "SELECT p_partkey, count(*) AS n FROM part JOIN lineitem ON l_quantity >= p_size - 1 AND l_quantity < p_size + 1 GROUP BY p_partkey")
+def join_range_all(t):
+    """The range join over all of lineitem, where ``join_range`` takes the orders below 2000. Equal points meet the spans once, with their number."""
+    points = t.lineitem.groupBy(F.col("l_quantity").alias("x")).agg(F.count("*").alias("n"))
+    spans = t.part.select("p_partkey", (F.col("p_size") - 1).cast("double").alias("lo"), (F.col("p_size") + 1).cast("double").alias("hi"))
+    return op.range_join(points, spans, "x", "lo", "hi", width=2.0).groupBy("p_partkey").agg(F.sum("n").alias("n"))
+
+
 # aggregation mechanics
 R.sql("agg_hash", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderdate) AS first, max(o_orderdate) AS last FROM {orders} GROUP BY o_orderpriority")
 R.sql("agg_global", "SELECT count(*) AS n, sum(CAST(l_linenumber AS BIGINT)) AS s FROM {lineitem}", "SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS s FROM {lineitem}")
