@@ -120,6 +120,9 @@ def top_n_row_number(t):
 # unnest and generators
 R.sql("unnest_array", "SELECT vec_id, explode(slice(embedding, 1, 3)) AS x FROM {embeddings}", "SELECT vec_id, unnest(embedding[1:3]) AS x FROM {embeddings}")
 R.sql("unnest_ordinality", "SELECT vec_id, pos + 1 AS pos, x FROM {embeddings} LATERAL VIEW posexplode(slice(embedding, 1, 3)) AS pos, x", "SELECT vec_id, i::INTEGER AS pos, embedding[i] AS x FROM {embeddings}, (SELECT unnest([1, 2, 3]) AS i)")
+# whole arrays, of any length, where the two queries above take three components
+R.sql("unnest_array_whole", "SELECT vec_id, explode(embedding) AS x FROM {embeddings}", "SELECT vec_id, unnest(embedding) AS x FROM {embeddings}")
+R.sql("unnest_ordinality_whole", "SELECT vec_id, pos + 1 AS pos, x FROM {embeddings} LATERAL VIEW posexplode(embedding) AS pos, x", "SELECT vec_id, i::INTEGER AS pos, embedding[i] AS x FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM {embeddings})")
 R.sql("unnest_map", "SELECT n_nationkey, explode(map('name', n_name, 'region', CAST(n_regionkey AS STRING))) AS (k, v) FROM {nation}", "SELECT n_nationkey, unnest(['name', 'region']) AS k, unnest([n_name, n_regionkey::VARCHAR]) AS v FROM {nation}")
 R.sql("explode_outer", "SELECT n_nationkey, explode_outer(filter(sequence(1, n_regionkey + 1), x -> x % 2 = 0 AND n_regionkey > 0)) AS x FROM {nation}", "SELECT n_nationkey, x::INTEGER AS x FROM (SELECT n_nationkey, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS x FROM (SELECT n_nationkey, list_filter(range(1, n_regionkey + 2), lambda x: x % 2 = 0 AND n_regionkey > 0) AS l FROM {nation}))")
 R.sql("json_tuple", "SELECT event_id, k FROM {events} LATERAL VIEW json_tuple(props, 'k') AS k", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM {events}")
