@@ -70,12 +70,22 @@ def bit_days_or(t):
     return united.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w")).select("n_regionkey", F.get("w", F.lit(0))["word"].alias("days"))
 
 
-@R.add("callback_sink", "SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 = 0")
-def callback(t):
-    """A function called with batches on the executors, reporting what it consumed."""
+def _consumed(rows):
+    """Rows that a function consumed, called with batches on the executors."""
 
     def consume(batches):
         for b in batches:
             yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
 
-    return t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey").mapInArrow(consume, "n long").agg(F.sum("n").alias("n"))
+    return rows.select("o_orderkey").mapInArrow(consume, "n long").agg(F.sum("n").alias("n"))
+
+
+@R.add("callback_sink", "SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 = 0")
+def callback(t):
+    return _consumed(t.orders.filter("o_orderkey % 2 = 0"))
+
+
+@R.add("callback_sink_all", "SELECT count(*) AS n FROM orders")
+def callback_all(t):
+    """Every batch of orders, where ``callback_sink`` hands over the even keys."""
+    return _consumed(t.orders)

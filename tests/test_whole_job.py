@@ -25,3 +25,8 @@ def test_unnest_takes_whole_arrays_of_any_length(spark, tmp_path):
     want = [(1, 1, 0.5), (1, 2, 1.5), *((2, i + 1, x) for i, x in enumerate(long)), (5, 1, 2.0)]
     assert run("unnest_ordinality_whole", spark, tmp_path) == want
     assert run("unnest_array_whole", spark, tmp_path) == sorted((i, x) for i, _, x in want)
+
+
+def test_callback_consumes_every_order(spark, tmp_path):
+    put(spark, tmp_path, "orders", [(k,) for k in (1, 2, 3, 5, 7)], "o_orderkey long")
+    assert run("callback_sink_all", spark, tmp_path) == [(5,)]
