@@ -3,8 +3,9 @@
 Deciding is the work of FM-indexes: a shard indexes the passages of the documents
 that hold them first, later documents are streamed against it by backward search
 over a wavelet tree, and the intervals whose matching statistics reach a window
-are reported. What is sent to shards is found by hashing, which may only add
-candidates, never lose one:
+are reported. What is sent to shards, and to which, is found by hashing: windows
+are discovered by the hash of their words, and the FM-index decides on the words
+themselves whether a first document holds them. Hashing loses no window:
 
 1. Each text gives the minimiser of each of its windows (the least hash of its
    ten-word runs). Equal windows have equal minimisers, so one that occurs in one
@@ -17,6 +18,9 @@ candidates, never lose one:
 3. Passages of first documents and of later ones meet in a shard by the first
    document's id. A passage with many copies is indexed in as many shards as its
    copies need, and the copies are dealt over them.
+4. Different windows may share a hash; the shard's first document then holds only
+   some of them. A shard returns the windows that its index does not hold, words
+   and all, and those are grouped by their words.
 
 Null texts have no words. A row with a null doc_id is neither earlier nor later
 than any other: it loses nothing and removes nothing. Of repeated rows of one id,
@@ -176,8 +180,11 @@ def _as_passages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["first", "salt", "asks", "doc_id", "at", "words"])
 
 
+_FOUND = "doc_id long, at int, n int, digest long, words binary"
+
+
 def search_shard(table: pa.Table) -> pa.Table:
-    """Intervals of later documents whose windows the shard's first documents hold."""
+    """Intervals of later documents whose windows the shard's first documents hold; with their words, windows that none holds."""
     vocabulary: dict[bytes, int] = {}
     asks, docs, ats = table.column("asks").to_pylist(), table.column("doc_id").to_pylist(), table.column("at").to_pylist()
     ids = lambda w: np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w.split(b" ")], np.int64)
@@ -186,19 +193,21 @@ def search_shard(table: pa.Table) -> pa.Table:
     sources = [i for i, a in enumerate(asks) if not a]
     index = FMIndex([ids(passages[i].as_py()) for i in sources], [docs[i] for i in sources], WINDOW)
     out: list[tuple] = []
+    digest = lambda w: xxhash.xxh64_intdigest(w) - 2**63
     later = [i for i, a in enumerate(asks) if a]
     for j in range(0, len(later), 20_000):
         some = later[j : j + 20_000]
         for i, least in zip(some, index.matches([known(passages[i].as_py()) for i in some]), strict=True):
-            hit = np.flatnonzero((least >= 0) & (least < docs[i]))
-            if not len(hit):
-                continue
+            hit, lost = np.flatnonzero((least >= 0) & (least < docs[i])), np.flatnonzero(least < 0)
             words = passages[i].as_py().split(b" ")
-            for run in np.split(hit, np.flatnonzero(np.diff(hit) != 1) + 1):
+            for run in np.split(hit, np.flatnonzero(np.diff(hit) != 1) + 1) if len(hit) else ():
                 lo, hi = int(run[0]), int(run[-1]) + WINDOW
-                out.append((docs[i], ats[i] + lo, hi - lo, xxhash.xxh64_intdigest(b" ".join(words[lo:hi])) - 2**63))
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-    return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "at", "n", "digest"])
+                out.append((docs[i], ats[i] + lo, hi - lo, digest(b" ".join(words[lo:hi])), None))
+            for k in lost.tolist():
+                window = b" ".join(words[k : k + WINDOW])
+                out.append((docs[i], ats[i] + k, WINDOW, digest(window), window))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "at", "n", "digest", "words"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -218,7 +227,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         drop_table(spark, t)
     passages = materialised(docs.join(claims, "doc_id").select("doc_id", "text", "claims").mapInArrow(_passages, _PASSAGE), "passages")
     shard = F.pmod(F.xxhash64("first", "salt"), F.lit(parts))
-    spans = passages.withColumn("shard", shard).groupBy("shard").applyInArrow(search_shard, "doc_id long, at int, n int, digest long")
+    found = materialised(passages.withColumn("shard", shard).groupBy("shard").applyInArrow(search_shard, _FOUND), "found")
+    # windows whose hash is that of another window: all holders but those of the other came back
+    lost = found.filter("words IS NOT NULL")
+    least = materialised(lost.groupBy("words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("words", "first"), "least")
+    spans = found.filter("words IS NULL").drop("words").unionByName(lost.join(least, "words").filter("first < doc_id").select("doc_id", "at", "n", "digest"))
     return materialised(spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "digest")).alias("spans")), "spans")
 
 
