@@ -113,7 +113,7 @@ def stream_counts(t):
 @R.add("stream_deduplicated", "SELECT count(DISTINCT event_id) AS n FROM events")
 def stream_dedup(t):
     rows = events.read_events(t.spark, f"{t.sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.run_once(events.deduplicated(rows, "ts", "1 day", "event_id").select("event_id"), "append").agg(F.count("*").alias("n"))
+    return events.run_once(events.deduplicated(rows, "ts", None, "event_id").select("event_id"), "append").agg(F.count("*").alias("n"))
 
 
 @R.add("fn_presto_composed", "SELECT n_nationkey AS id, string_split(n_name, '_')[2] AS part, round(0.5 + atan((n_nationkey - 3) / 2) / pi(), 9) AS cauchy, [n_nationkey, 1, 1][1:2] AS trimmed, strftime(TIMESTAMP '2024-02-29 01:02:03', '%Y/%m/%d') AS day, (n_name || 'x')[1:3] AS s3 FROM nation")

@@ -20,7 +20,10 @@ def windowed_counts(events: DataFrame, time: str, every: str, late: str, *keys:
     return rows.groupBy(F.window(time, every), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
 
 
-def deduplicated(events: DataFrame, time: str, late: str, *keys: str) -> DataFrame:
+def deduplicated(events: DataFrame, time: str, late: str | None, *keys: str) -> DataFrame:
+    """One row of each key. Without a bound on lateness every key is remembered and no row is dropped as late, however files fall into batches."""
+    if late is None:
+        return events.dropDuplicates(list(keys))
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 

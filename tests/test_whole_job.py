@@ -1,5 +1,11 @@
 """Queries that read whole tables, on tables where a cut by id or by length would show."""
 
+import datetime
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from lumenframe import plans
 
 
@@ -30,3 +36,15 @@ def test_unnest_takes_whole_arrays_of_any_length(spark, tmp_path):
 def test_callback_consumes_every_order(spark, tmp_path):
     put(spark, tmp_path, "orders", [(k,) for k in (1, 2, 3, 5, 7)], "o_orderkey long")
     assert run("callback_sink_all", spark, tmp_path) == [(5,)]
+
+
+def test_stream_deduplication_over_many_batches(spark, tmp_path):
+    """More files than one trigger takes, the oldest events in the last ones."""
+    (tmp_path / "events.parquet").mkdir()
+    zero = datetime.datetime(2024, 1, 1)
+    for i in range(103):
+        file = tmp_path / "events.parquet" / f"part-{i:03}.parquet"
+        late = i if i < 100 else -i
+        pq.write_table(pa.table({"event_id": [i, i // 2], "ts": pa.array([zero + datetime.timedelta(days=late)] * 2, pa.timestamp("us"))}), file)
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+    assert run("stream_deduplicated", spark, tmp_path) == [(103,)]
