@@ -196,15 +196,21 @@ def links(distinct: DataFrame, link: int = LINK) -> DataFrame:
     return distinct.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean").groupBy("leaf").applyInArrow(join, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row; component_id is the least doc_id that links reach."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) for each row; and (fp, root, component_id) for each fingerprint of a row with an id."""
     rows = materialised(fingerprints(docs), "fingerprints")
     known = rows.filter("doc_id IS NOT NULL")
     distinct = materialised(known.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = materialised(components(links(distinct)), "components")
     rooted = materialised(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = materialised(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    of = materialised(rooted.join(least, "root").select("fp", "component_id"), "classes")
+    return rows, materialised(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for each row; component_id is the least doc_id that links reach."""
+    rows, of = classes(docs)
+    known = rows.filter("doc_id IS NOT NULL")
     return rows.filter("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long")).unionByName(known.join(of, "fp").select("doc_id", "fp", "component_id"))
 
 
@@ -215,14 +221,31 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """docs without rows whose component has a smaller id; of repeated rows of an id, the one with the least text stays. Rows without an id stay."""
+    """docs with one row of each component: of its least id, the row with the least text. Rows without an id stay.
+
+    Rows that share an id but not a component are apart, each with its own component.
+    """
     from pyspark.sql import Window
 
     from .common import own_name
 
-    found = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows, of = classes(docs)
+    ids = materialised(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")), "ids")
+    found = ids.filter("lo = hi").join(of, F.col("lo") == F.col("fp")).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     found = materialised(found, "kept")
-    nth = own_name(docs, "_nth")
-    one = docs.join(found, docs["doc_id"].cast("long") == found["_kept"], "left_semi")
-    one = one.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(nth) == 1).drop(nth)
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    # ids whose rows differ: only these rows are fingerprinted again
+    several = ids.filter("lo <> hi").select(F.col("doc_id").alias("_several"))
+    pairs = rows.join(several, F.col("doc_id") == F.col("_several"), "left_semi").distinct().join(of, "fp").filter("doc_id = component_id")
+    pairs = materialised(pairs.select(F.col("doc_id").alias("_kept"), F.col("fp").alias("_fp"), F.col("root").alias("_root")), "pairs")
+
+    @F.arrow_udf("long")
+    def print_of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(x.as_py() or b"") for x in texts.cast(pa.binary())], np.uint64).view(np.int64))
+
+    nth, fp, root, kept = (own_name(docs, n) for n in ("_nth", "_fp", "_root", "_kept"))
+    first = lambda df, key: df.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    one = first(docs.join(found, docs["doc_id"].cast("long") == found["_kept"], "left_semi"), "doc_id")
+    pairs = pairs.select(F.col("_kept").alias(kept), F.col("_fp").alias(f"{fp}_of"), F.col("_root").alias(root))
+    some = docs.join(pairs.select(kept).distinct(), docs["doc_id"].cast("long") == F.col(f"`{kept}`"), "left_semi").withColumn(fp, print_of(F.col("text").cast("string")))
+    apart = first(some.join(pairs, (some["doc_id"].cast("long") == pairs[kept]) & (some[fp] == pairs[f"{fp}_of"])), root)
+    return one.unionByName(apart).unionByName(docs.filter("doc_id IS NULL"))
