@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, documents, id_and_text, own_name
+from .common import crc32_mod, documents, id_and_text, materialised, own_name
 from .learning import CLASSES, class_counts, labelled_sample, one_per_id, sigmoid
 
 THRESHOLD = 0.5
@@ -42,6 +42,8 @@ SECOND = frozenset("you your yours yourself ye u ur du dich dir dein deine deine
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": "", "-": "", "_": "", ".": "", "#": "", "+": "t"})
 EDGE = ".,;:!?\"'`()[]{}<>#*$%&|-_"
 KNOWN_WORDS = 300_000
+#: Keys that a task sums before it passes them on.
+KNOWN_KEYS = 200_000
 
 
 def keys_of(word: str) -> list[str]:
@@ -192,25 +194,35 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["key", "before"])
 
     toxic = sample.filter("label = 1").select("text").mapInArrow(contexts, "key string, before string")
-    toxic = toxic.distinct().groupBy("key").count().filter(F.col("count") >= CONTEXTS)
-    # at most 5 * LEXICON keys reach the driver
-    often = {r.key: r["count"] for r in toxic.orderBy(F.desc("count"), "key").limit(5 * LEXICON).collect()}
+    toxic = toxic.distinct().groupBy("key").agg(F.count("*").alias("often")).filter(F.col("often") >= CONTEXTS)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts that hold each key, by label, summed while they are few; the empty key counts texts."""
         counts: Counter = Counter()
+
+        def summed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["label", "key", "n"])
+
         for b in batches:
             for label, x in zip(b.column("label").to_pylist(), b.column("text"), strict=True):
-                seen = {k for w in set((x.as_py() or "").lower().split()) for k in keys_of(w)} & often.keys()
-                counts.update((label, k) for k in seen)
+                counts.update({(label, k) for w in set((x.as_py() or "").lower().split()) for k in keys_of(w)})
                 counts[label, ""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["label", "key", "n"])
-
-    rows = sample.select("label", "text").mapInArrow(occurrences, "label int, key string, n long").groupBy("label", "key").agg(F.sum("n").alias("n")).collect()
-    n = {(r.label, r.key): r.n for r in rows}
-    share = lambda label, k: (n.get((label, k), 0) + 0.5) / (n.get((label, ""), 0) + 1)
-    lift = {k: math.log(share(1, k) / share(0, k)) for k in often}
-    best = sorted((k for k, v in lift.items() if v >= math.log(LIFT)), key=lambda k: (-lift[k] * often[k], k))[:LEXICON]
-    return {k: round(lift[k], 6) for k in best}
+                if len(counts) > KNOWN_KEYS:
+                    yield summed()
+                    counts.clear()
+        yield summed()
+
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}")
+    texts = materialised(sample.select("label", "text").mapInArrow(occurrences, "label int, key string, n long").groupBy("key").agg(of(0), of(1)), "keys")
+    total = texts.filter("key = ''").first()
+    if total is None:
+        return {}
+    share = lambda n, all_: (n + 0.5) / (all_ + 1)
+    lift = F.log(share(F.col("n1"), total.n1) / share(F.col("n0"), total.n0))
+    # every candidate's lift is known before any is cut; at most LEXICON keys reach the driver
+    best = toxic.join(texts, "key").withColumn("lift", lift).filter(F.col("lift") >= math.log(LIFT))
+    best = best.orderBy(F.desc(F.col("lift") * F.col("often")), "key").limit(LEXICON).select("key", "n0", "n1").collect()
+    return {r.key: round(math.log(share(r.n1, total.n1) / share(r.n0, total.n0)), 6) for r in best}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple | None:
