@@ -1,0 +1,22 @@
+"""Substring removal where the copies of a passage need several shards."""
+
+import numpy as np
+import pyarrow as pa
+
+from lumenframe.llm import fm_dedup
+
+
+def test_op7_copies_are_dealt_over_several_shards(monkeypatch):
+    monkeypatch.setattr(fm_dedup, "COPIES", 4)
+    text = " ".join(f"w{i}" for i in range(60))
+    claims = [[{"at": a, "first": 0, "copies": 30} for a in range(11)]] * 30
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("first", pa.int64()), ("copies", pa.int64())]))
+    docs = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array([text] * 30), pa.array(claims, kind)], names=["doc_id", "text", "claims"])
+    passages = pa.Table.from_batches(list(fm_dedup._passages(iter([docs]))))
+    salts = passages.column("salt").to_numpy()
+    asked = passages.column("asks").to_numpy()
+    assert set(salts[~asked]) == set(range(8)) and len(set(salts[asked])) > 1
+    found = []
+    for salt in range(8):
+        found += fm_dedup.search_shard(passages.take(pa.array(np.flatnonzero(salts == salt)))).to_pylist()
+    assert sorted((r["doc_id"], r["at"], r["n"], r["words"]) for r in found) == [(i, 0, 60, None) for i in range(1, 30)]
