@@ -1,30 +1,32 @@
 """Substring removal: words of 50-word windows that an earlier document holds too.
 
-Deciding is the work of FM-indexes: a shard indexes the passages of the documents
-that hold them first, later documents are streamed against it by backward search
-over a wavelet tree, and the intervals whose matching statistics reach a window
-are reported. What is sent to shards, and to which, is found by hashing: windows
-are discovered by the hash of their words, and the FM-index decides on the words
-themselves whether a first document holds them. Hashing loses no window:
-
-1. Each text gives the minimiser of each of its windows (the least hash of its
-   ten-word runs). Equal windows have equal minimisers, so one that occurs in one
-   document only rules its windows out: about one row for 20 words, counted with
-   partial aggregation.
-2. Windows of the remaining minimisers give their own hash: counted likewise,
-   with the least document and the number of rows. Both sides of each join are
-   written tables, so that adaptive execution splits the hash of a passage that a
-   third of the table holds.
-3. Passages of first documents and of later ones meet in a shard by the first
-   document's id. A passage with many copies is indexed in as many shards as its
-   copies need, and the copies are dealt over them.
-4. Different windows may share a hash; the shard's first document then holds only
-   some of them. A shard returns the windows that its index does not hold, words
-   and all, and those are grouped by their words.
+Which windows repeat, and which document holds each first, is found by FM-indexes:
+a shard indexes passages in a wavelet tree, passages are streamed against it by
+backward search, and the intervals whose matching statistics reach a window are
+reported with the least document that holds them. Shards are cut so that equal
+windows meet:
+
+1. The key of a window is its minimiser, the least hash of its ten-word runs.
+   Equal windows have equal keys, so a window whose key occurs in one document
+   only cannot repeat: keys, about one for 20 words, are counted with partial
+   aggregation, and the other windows never leave their document.
+2. Consecutive windows of one key are a passage, at most ``PIECE`` windows. Equal
+   passages are first made one row with their least and greatest document, again
+   with partial aggregation: copies cost nothing further on.
+3. A key with more than ``HOT`` different passages (near copies by the thousand,
+   or the text around a passage that everyone quotes) is cut anew by a longer run
+   of words, last by the whole window, of which all copies are equal. So no group
+   grows with the number of copies, and none is compared pair by pair.
+4. Shards take whole keys, about ``SHARD_WORDS`` words each. Hashes only choose
+   where windows meet; that they are equal is decided on their words.
+
+Results go back from passages to documents by a 128-bit digest of the words.
 
 Null texts have no words. A row with a null doc_id is neither earlier nor later
 than any other: it loses nothing and removes nothing. Of repeated rows of one id,
-none is earlier than another. An empty table gives no rows.
+none is earlier than another, and each loses what its own words say. A very long
+text is many passages; only its own row is ever held whole. An empty table gives
+no rows. Other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,9 +43,11 @@ from pyspark.sql import functions as F
 from .common import documents, drop_table, id_and_text, materialised, mix64
 from .fm_index import FMIndex
 
-WINDOW, RUN = 50, 10
-#: Copies of a passage that one shard takes, and windows in a streamed piece.
-COPIES, PIECE = 2000, 256
+WINDOW = 50
+#: Words in the runs that keys are hashes of: the first cut, and the cuts of keys that are hot.
+RUNS = (10, 40, WINDOW)
+#: Windows in a passage, and different passages of a key, at most; words in a shard, about.
+PIECE, HOT, SHARD_WORDS = 256, 1000, 1_000_000
 _CHUNK = 1 << 20
 _BYTE, _WORD = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1)
 
@@ -100,9 +104,9 @@ def _run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix64((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
 
 
-def minimisers(words: np.ndarray) -> np.ndarray:
+def minimisers(words: np.ndarray, run: int = RUNS[0]) -> np.ndarray:
     """For each window, the least hash of its runs."""
-    x, width, size = _run_hashes(words, RUN), WINDOW - RUN + 1, 1
+    x, width, size = _run_hashes(words, run), WINDOW - run + 1, 1
     while 2 * size <= width:
         x = np.minimum(x[:-size], x[size:])
         size *= 2
@@ -130,118 +134,145 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(np.concatenate(docs))], names=["anchor", "doc_id"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for doc, x, anchors in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("anchors"), strict=True):
-            words = word_hashes(_text(x))
-            if len(words) < WINDOW:
-                continue
-            at = np.flatnonzero(np.isin(minimisers(words), anchors.values.to_numpy().view(np.uint64)))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([_signed(_run_hashes(words, WINDOW)[at]), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], names=["hash", "doc_id", "at"])
+def _runs(keys: np.ndarray, wanted: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(first, past the last) of windows in a row that have one key, a wanted one, at most PIECE of them."""
+    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
+    chosen = np.isin(keys[starts[:-1]], wanted).tolist() if wanted is not None else [True] * (len(starts) - 1)
+    return [(i, min(i + PIECE, end)) for start, end, ok in zip(starts, starts[1:], chosen, strict=False) if ok for i in range(start, end, PIECE)]
 
 
-_PASSAGE = "first long, salt int, asks boolean, doc_id long, at int, words binary"
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    part: list[tuple] = []
+    for r in rows:
+        part.append(r)
+        if len(part) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
+            part = []
+    if part:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows: for the first document its passage in each salt, for a later one its pieces in one salt."""
-    for b in batches:
-        rows = []
-        for doc, x, claims in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("claims"), strict=True):
-            words = _text(x).split()
-            c = claims.values
-            at, first, copies = (c.field(k).to_numpy(zero_copy_only=False) for k in ("at", "first", "copies"))
-            order = np.argsort(at, kind="stable")
-            at, first, salts = at[order].astype(np.int64), first[order], -(-copies[order] // COPIES)
-            fits = at + WINDOW <= len(words)
-            at, first, salts = at[fits], first[fits], salts[fits]
-            own = first == doc
-            for salt in range(int(salts[own].max(initial=0))):
-                a = at[own & (salts > salt)]
-                for run in np.split(a, np.flatnonzero(np.diff(a) != 1) + 1):
-                    rows.append((doc, salt, False, doc, int(run[0]), b" ".join(words[run[0] : run[-1] + WINDOW])))
-            a, f, s = at[~own], first[~own], salts[~own]
-            if len(a):
-                for k in np.split(np.arange(len(a)), np.flatnonzero((np.diff(a) != 1) | (np.diff(f) != 0) | (np.diff(s) != 0)) + 1):
-                    salt = xxhash.xxh32_intdigest(str(doc)) % int(s[k[0]])
-                    for i in range(0, len(k), PIECE):
-                        lo, hi = int(a[k[i]]), int(a[k[min(i + PIECE, len(k)) - 1]]) + WINDOW
-                        rows.append((int(f[k[0]]), salt, True, doc, lo, b" ".join(words[lo:hi])))
-            if len(rows) > 20_000:
-                yield _as_passages(rows)
-                rows = []
-        if rows:
-            yield _as_passages(rows)
-
-
-def _as_passages(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["first", "salt", "asks", "doc_id", "at", "words"])
-
-
-_FOUND = "doc_id long, at int, n int, digest long, words binary"
+_PIECE = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("words", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+_CHILD = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("words", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("parent", pa.binary()), ("shift", pa.int32())])
+_PIECES = "key long, digest binary, words binary, doc_id long, at int, n int"
+_CHILDREN = "key long, digest binary, words binary, first long, last long, parent binary, shift int"
+_FOUND = "level int, digest binary, spans array<struct<shift: int, n: int, least: long>>"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The passages of each document whose keys other documents have too."""
+
+    def rows():
+        for b in batches:
+            for doc, x, anchors in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("anchors"), strict=True):
+                data = _text(x)
+                hashes = word_hashes(data)
+                if len(hashes) < WINDOW:
+                    continue
+                keys, words = minimisers(hashes), data.split()
+                for i, j in _runs(keys, anchors.values.to_numpy().view(np.uint64)):
+                    passage = b" ".join(words[i : j + WINDOW - 1])
+                    yield int(keys[i].view(np.int64)), xxhash.xxh3_128_digest(passage), passage, doc, i, j - i + WINDOW - 1
+
+    return _batches(rows(), _PIECE)
+
+
+def _recut(run: int):
+    """Cuts passages anew, by longer runs of words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                for parent, x, first, last in zip(*(b.column(c).to_pylist() for c in ("digest", "words", "first", "last")), strict=True):
+                    keys, words = minimisers(word_hashes(x), run), x.split(b" ")
+                    for i, j in _runs(keys):
+                        passage = b" ".join(words[i : j + WINDOW - 1])
+                        yield int(keys[i].view(np.int64)), xxhash.xxh3_128_digest(passage), passage, first, last, parent, i
+
+        return _batches(rows(), _CHILD)
+
+    return cut
 
 
 def search_shard(table: pa.Table) -> pa.Table:
-    """Intervals of later documents whose windows the shard's first documents hold; with their words, windows that none holds."""
+    """For each passage the windows, by place and number, that a document before its last holder has, and the least such document."""
     vocabulary: dict[bytes, int] = {}
-    asks, docs, ats = table.column("asks").to_pylist(), table.column("doc_id").to_pylist(), table.column("at").to_pylist()
-    ids = lambda w: np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w.split(b" ")], np.int64)
-    known = lambda w: np.array([vocabulary.get(x, 0) for x in w.split(b" ")], np.int64)
-    passages = table.column("words")
-    sources = [i for i, a in enumerate(asks) if not a]
-    index = FMIndex([ids(passages[i].as_py()) for i in sources], [docs[i] for i in sources], WINDOW)
+    sequences = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in x.as_py().split(b" ")], np.int64) for x in table.column("words")]
+    index = FMIndex(sequences, table.column("first").to_pylist(), WINDOW)
     out: list[tuple] = []
-    digest = lambda w: xxhash.xxh64_intdigest(w) - 2**63
-    later = [i for i, a in enumerate(asks) if a]
-    for j in range(0, len(later), 20_000):
-        some = later[j : j + 20_000]
-        for i, least in zip(some, index.matches([known(passages[i].as_py()) for i in some]), strict=True):
-            hit, lost = np.flatnonzero((least >= 0) & (least < docs[i])), np.flatnonzero(least < 0)
-            words = passages[i].as_py().split(b" ")
-            for run in np.split(hit, np.flatnonzero(np.diff(hit) != 1) + 1) if len(hit) else ():
-                lo, hi = int(run[0]), int(run[-1]) + WINDOW
-                out.append((docs[i], ats[i] + lo, hi - lo, digest(b" ".join(words[lo:hi])), None))
-            for k in lost.tolist():
-                window = b" ".join(words[k : k + WINDOW])
-                out.append((docs[i], ats[i] + k, WINDOW, digest(window), window))
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "at", "n", "digest", "words"])
+    digests, lasts, levels = table.column("digest"), table.column("last").to_numpy(), table.column("level")
+    for j in range(0, len(sequences), 20_000):
+        for i, least in enumerate(index.matches(sequences[j : j + 20_000]), j):
+            if not ((least >= 0) & (least < lasts[i])).any():
+                continue
+            starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]]).tolist()
+            spans = [{"shift": a, "n": b - a, "least": int(least[a])} for a, b in zip(starts, starts[1:], strict=False) if 0 <= least[a] < lasts[i]]
+            out.append((levels[i].as_py(), digests[i].as_py(), spans))
+    kinds = (pa.int32(), pa.binary(), pa.list_(pa.struct([("shift", pa.int32()), ("n", pa.int32()), ("least", pa.int64())])))
+    return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["level", "digest", "spans"])
+
+
+def _first_and_last(passages: DataFrame, name: str) -> DataFrame:
+    """Different passages (key, digest, words) with the least and greatest document of each."""
+    return materialised(passages.groupBy("key", "digest", "words").agg(F.min("first").alias("first"), F.max("last").alias("last")), name)
+
+
+def _cut(pieces: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Passages to search, with the level of their cut; and for each further cut, which passage is part of which."""
+    ready, parts = [], []
+    rows = _first_and_last(pieces.select("key", "digest", "words", F.col("doc_id").alias("first"), F.col("doc_id").alias("last")), "passages")
+    for level, run in enumerate(RUNS[1:]):
+        hot = materialised(rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > HOT).select("key"), f"hot-{level}")
+        if hot.isEmpty():
+            break
+        ready.append(rows.join(hot, "key", "left_anti").withColumn("level", F.lit(level)))
+        children = materialised(rows.join(hot, "key", "left_semi").mapInArrow(_recut(run), _CHILDREN), f"cut-{level}")
+        parts.append(children.select("digest", "parent", "shift"))
+        rows = _first_and_last(children, f"passages-{level + 1}")
+        # a finer key that one document alone has is no longer of use
+        shared = materialised(rows.groupBy("key").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).filter("lo < hi").select("key"), f"shared-{level + 1}")
+        rows = materialised(rows.join(shared, "key", "left_semi"), f"kept-{level + 1}")
+    ready.append(rows.withColumn("level", F.lit(len(parts))))
+    out = ready[0]
+    for r in ready[1:]:
+        out = out.unionByName(r)
+    return out, parts
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): word intervals (at, n, digest) to remove, for each document that has any. docs: doc_id, text."""
+    """(doc_id, passages): for each document that has words to lose, passages (at, n, digest) and in each the spans (shift, n) of windows. docs: doc_id, text."""
     spark = docs.sparkSession
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = materialised(docs.mapInArrow(_anchors, "anchor long, doc_id long"), "anchors")
     shared = materialised(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor"), "shared")
     of = materialised(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "of")
-    windows = materialised(docs.join(of, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_windows, "hash long, doc_id long, at int"), "windows")
-    again = windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("copies"))
-    again = materialised(again.filter("first < last").select("hash", "first", "copies"), "again")
-    met = windows.join(again, "hash").select("doc_id", F.struct("at", "first", "copies").alias("c"))
-    claims = materialised(met.groupBy("doc_id").agg(F.collect_list("c").alias("claims")), "claims")
-    for t in (anchors, shared, windows, again):
+    pieces = materialised(docs.join(of, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_pieces, _PIECES), "pieces")
+    for t in (anchors, shared, of):
         drop_table(spark, t)
-    passages = materialised(docs.join(claims, "doc_id").select("doc_id", "text", "claims").mapInArrow(_passages, _PASSAGE), "passages")
-    shard = F.pmod(F.xxhash64("first", "salt"), F.lit(parts))
-    found = materialised(passages.withColumn("shard", shard).groupBy("shard").applyInArrow(search_shard, _FOUND), "found")
-    # windows whose hash is that of another window: all holders but those of the other came back
-    lost = found.filter("words IS NOT NULL")
-    least = materialised(lost.groupBy("words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("words", "first"), "least")
-    spans = found.filter("words IS NULL").drop("words").unionByName(lost.join(least, "words").filter("first < doc_id").select("doc_id", "at", "n", "digest"))
-    return materialised(spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "digest")).alias("spans")), "spans")
-
-
-def keep_mask(words: list[bytes], spans) -> np.ndarray:
-    """Which words stay. A span counts only where the row's own words are those that were found."""
+    passages, parts = _cut(pieces)
+    words = passages.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    # at least a shard for each task; a word is some six bytes
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // (6 * SHARD_WORDS) + 1)
+    dealt = passages.select("level", "digest", "words", "first", "last", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
+    found = materialised(dealt.groupBy("shard").applyInArrow(search_shard, _FOUND), "found")
+    spans = found.filter(F.col("level") == len(parts)).drop("level")
+    for level in reversed(range(len(parts))):
+        moved = F.transform("spans", lambda s: F.struct((s["shift"] + F.col("shift")).alias("shift"), s["n"], s["least"]))
+        above = parts[level].join(spans, "digest").select(F.col("parent").alias("digest"), moved.alias("spans")).groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        spans = materialised(found.filter(F.col("level") == level).drop("level").unionByName(above), f"spans-{level}")
+    met = pieces.select("digest", "doc_id", "at", "n").join(spans, "digest").withColumn("spans", F.filter("spans", lambda s: s["least"] < F.col("doc_id")))
+    met = met.filter(F.size("spans") > 0).select("doc_id", F.struct("at", "n", "digest", F.transform("spans", lambda s: F.struct(s["shift"].alias("shift"), s["n"].alias("n"))).alias("spans")).alias("p"))
+    return materialised(met.groupBy("doc_id").agg(F.collect_list("p").alias("passages")), "repeated")
+
+
+def keep_mask(words: list[bytes], passages) -> np.ndarray:
+    """Which words stay. A passage counts only where the row's own words are those that were found."""
     keep = np.ones(len(words), bool)
-    for s in spans or ():
-        at, n = s["at"], s["n"]
-        if at + n <= len(words) and xxhash.xxh64_intdigest(b" ".join(words[at : at + n])) - 2**63 == s["digest"]:
-            keep[at : at + n] = False
+    for p in passages or ():
+        at, n = p["at"], p["n"]
+        if at + n <= len(words) and xxhash.xxh3_128_digest(b" ".join(words[at : at + n])) == p["digest"]:
+            for s in p["spans"]:
+                keep[at + s["shift"] : at + s["shift"] + s["n"] + WINDOW - 1] = False
     return keep
 
 
@@ -252,7 +283,7 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, removed, digest = [], [], []
-            for x, spans in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
+            for x, spans in zip(b.column("text"), b.column("passages").to_pylist(), strict=True):
                 words = _text(x).split()
                 keep = keep_mask(words, spans)
                 total.append(len(words))
@@ -260,7 +291,7 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
                 digest.append(hashlib.sha256(b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    met = docs.join(repeated_passages(docs), "doc_id", "left").select("doc_id", "text", "spans")
+    met = docs.join(repeated_passages(docs), "doc_id", "left").select("doc_id", "text", "passages")
     return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -273,7 +304,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
 
     spans = own_name(docs, "_spans")
     key = own_name(docs, "_key")
-    found = repeated_passages(id_and_text(docs)).select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
+    found = repeated_passages(id_and_text(docs)).select(F.col("doc_id").alias(key), F.col("passages").alias(spans))
 
     @F.arrow_udf("string")
     def kept(texts: pa.Array, spans: pa.Array) -> pa.Array:

@@ -50,11 +50,14 @@ class WaveletTree:
         return self._descend(c, i) - self.start[c]
 
 
-def suffix_array(text: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, by prefix doubling; and the ranks by the first ``at`` symbols (a power of two)."""
+def suffix_array(text: np.ndarray, at: int, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order of at least their first ``enough`` symbols, by prefix doubling; and the ranks by the first ``at`` (a power of two below that).
+
+    Patterns of up to ``enough`` symbols are intervals of this order, so a text that repeats itself is not sorted to its end.
+    """
     n = len(text)
-    rank, k, kept = np.unique(text, return_inverse=True)[1].astype(np.int64), 1, None
-    while True:
+    rank, k, kept, order = np.unique(text, return_inverse=True)[1].astype(np.int64), 1, None, None
+    while k < enough or order is None:
         if k == at:
             kept = rank.copy()
         second = np.zeros(n, np.int64)
@@ -65,10 +68,7 @@ def suffix_array(text: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
         rank = np.empty(n, np.int64)
         rank[order] = ranked
         k *= 2
-        if (n == 0 or ranked[-1] == n - 1) and k > at:
-            return order, kept
-        if k > 2 * n and k > at:
-            return order, kept
+    return order, kept
 
 
 class FMIndex:
@@ -80,7 +80,7 @@ class FMIndex:
         self.text = np.concatenate([x for s in sequences for x in (s, zero)]) if sequences else zero
         owner = np.repeat(np.array(docs, np.int64), [len(s) + 1 for s in sequences]) if sequences else zero
         n, at = len(self.text), 1 << (window - 1).bit_length() - 1
-        order, rank = suffix_array(self.text, at)
+        order, rank = suffix_array(self.text, at, window)
         size = int(self.text.max()) + 1
         self.size, self.n = size, n
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=size))])
