@@ -3,24 +3,29 @@
 A row fails at once where it has fewer than 10 words, or more than a fifth of
 its words lie in five-word windows that the text holds twice. The other rules
 reject a row where a signal reaches a cutoff. Cutoffs are chosen by Learn-then-
-Test: among labelled good rows of a stratum (a band of text length), the number
-that a cutoff rejects is binomial, and the exact tail probability tests whether
-the false-rejection rate is at least ``RISK``. Cutoffs are tested from the laxest
-to the strictest and testing stops at the first that fails (a fixed sequence);
-over rules and strata the level is split (Bonferroni). So with probability
-``1 - LEVEL``, no chosen cutoff rejects ``RISK`` or more of the good rows of its
-stratum. Of the certified cutoffs, the one with the best balance of rejected bad
-rows against ``PENALTY`` times the good ones is taken, the laxest among equals;
-a rule without a certified cutoff of positive balance is not applied.
-
-Calibration counts cover all labelled rows; they are strata x rules x cutoffs
-numbers, whatever the table's size. Scoring a row looks at that row only, so
-there is no shuffle by key and no skew.
+Test: among labelled good documents of a stratum (a band of text length), the
+number that a cutoff rejects is binomial, and the exact tail probability tests
+whether its false-rejection rate is at least ``RISK / number of rules``. Cutoffs
+are tested from the laxest to the strictest and testing stops at the first that
+fails (a fixed sequence); over rules and strata the level is split (Bonferroni).
+A stratum's rejected good documents are at most the sum over its rules, so with
+probability ``1 - LEVEL`` the cutoffs together reject less than ``RISK`` of the
+good documents of every stratum. Of the certified cutoffs of a rule, the one with
+the best balance of rejected bad documents against ``PENALTY`` times the good
+ones is taken, the laxest among equals; a rule without a certified cutoff of
+positive balance is not applied.
+
+Calibration counts cover all labelled documents; they are strata x rules x
+cutoffs numbers, whatever the table's size. Scoring a row looks at that row only,
+so there is no shuffle by key and no skew.
 
 Null texts have no words and fail. Rows with a null or repeated doc_id are judged
-like any other; a label counts for every row of its id, and labels with a null
-doc_id or quality are left out. With empty labels no cutoff applies. An empty
-table gives no rows.
+like any other. For calibration a labelled id counts once, by the row of its
+greatest signals, since copies are not independent draws; labels with a null
+doc_id or quality are left out, and of an id with both labels the bad one counts.
+A value equal to a cutoff is rejected. With empty labels no cutoff applies. A very
+long text is one array of its words. An empty table gives no rows. Columns whose
+names clash with the signals' are kept: the signals take other names.
 """
 
 from __future__ import annotations
@@ -31,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import documents, own_name
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Bound on the false-rejection rate of each cutoff, and the chance that any bound is wrong.
-RISK, LEVEL = 0.01, 0.05
+#: Bound on the share of a stratum's good documents that all cutoffs together reject, and the chance that any bound is wrong.
+RISK, LEVEL = 0.02, 0.05
+#: Labelled ids up to which they are broadcast: 16 bytes each. Beyond, signals are computed first and joined.
+BROADCAST_IDS = 2_000_000
 #: Good rows count this many times against bad ones when certified cutoffs are compared.
 PENALTY = 20
 #: Lower ends of the strata, in words.
@@ -139,17 +146,29 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > p * n, F.lit(1.0)).when(k == 0, F.exp(n * F.log1p(F.lit(-p)))).otherwise(summed)
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[tuple[int, str], float]:
-    """Chosen cutoffs by (stratum, signal): at most strata x signals numbers, the only thing that reaches the driver."""
+def _labelled_signals(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, quality, signals) of each labelled id with a text of at least ten words, once."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("id").agg(F.min("quality").alias("quality"))
+    key = own_name(docs, "_id")
+    docs = docs.select(docs["doc_id"].cast("long").alias(key), docs["text"])
+    if few := marks.count() <= BROADCAST_IDS:
+        # texts without a label are left out before their signals are computed
+        docs = docs.join(F.broadcast(marks.select(F.col("id").alias("_of"))), F.col(f"`{key}`") == F.col("_of"), "left_semi")
     signals, n = with_signals(docs)
-    judged = signals.filter(F.col(f"`{n['n_words']}`") >= 10)
-    rows = judged.select(
-        signals["doc_id"].cast("long").alias("id"), F.col(f"`{n['band']}`").alias("band"),
-        F.array(*(F.struct(F.lit(s).alias("signal"), _reached(F.col(f"`{n[s]}`"), CUTOFFS[s]).alias("reached")) for s in CUTOFFS)).alias("signals"),
+    rows = signals.filter(F.col(f"`{n['n_words']}`") >= 10).select(
+        F.col(f"`{key}`").alias("id"), F.col(f"`{n['band']}`").alias("band"),
+        F.array(*(_reached(F.col(f"`{n[s]}`"), CUTOFFS[s]) for s in CUTOFFS)).alias("reached"),
     )
-    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).dropna().distinct()
+    once = rows.groupBy("id").agg(F.max(F.struct("reached", "band")).alias("r")).select("id", "r.*")
+    return once.join(F.broadcast(marks) if few else marks, "id").select(
+        "band", "quality", F.array(*(F.struct(F.lit(s).alias("signal"), F.col("reached")[k].alias("reached")) for k, s in enumerate(CUTOFFS))).alias("signals")
+    )
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[tuple[int, str], float]:
+    """Chosen cutoffs by (stratum, signal): at most strata x signals numbers, the only thing that reaches the driver."""
     counts = (
-        rows.join(marks, "id").select("band", "quality", F.explode("signals").alias("x")).select("band", "quality", "x.*")
+        _labelled_signals(docs, labels).select("band", "quality", F.explode("signals").alias("x")).select("band", "quality", "x.*")
         .groupBy("band", "signal", "reached").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     )
     # one array of (reached, good, bad) for each stratum and signal, at most a dozen entries: what a cutoff rejects is the sum at or above it
@@ -160,7 +179,7 @@ def calibrate(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: flo
     least = F.size(of[F.col("signal")]) - F.col("rank")  # cutoffs descend: a value at the rank's cutoff reaches this many
     tested = tested.select("band", "signal", "rank", "cutoff", "n", total("good", least).alias("k"), total("bad", least).alias("bad"))
     alpha = level / (len(CUTOFFS) * len(BANDS))
-    tested = tested.withColumn("passed", binomial_tail(F.col("k"), F.col("n"), risk) <= alpha)
+    tested = tested.withColumn("passed", binomial_tail(F.col("k"), F.col("n"), risk / len(CUTOFFS)) <= alpha)
     best = (
         tested.groupBy("band", "signal").agg(
             F.coalesce(F.min(F.when(~F.col("passed"), F.col("rank"))), F.lit(1 << 20)).alias("stop"),
