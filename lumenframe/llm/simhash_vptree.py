@@ -13,11 +13,20 @@ spanning forest of the links, from which components are made. All links are
 found; only those that connect nothing new are left out.
 
 A home goes over in one direction only, so no pair is compared twice at a split.
-The tree's depth follows the number of distinct fingerprints.
+Each split sends some four tenths of the rows to both sides, so copies would grow
+with the number of leaves. A table of up to ``LEAF * 2**DEPTH`` distinct
+fingerprints is dealt by a tree of the depth it needs, at most seven to eight
+rows for each. A larger one is dealt by two splits, and within their leaves by
+the leading bits of each of four 16-bit bands: three differing bits leave a band
+equal, so linked rows still meet. That is at most eight rows for each fingerprint
+whatever the table's size. Every task grows its own tree over what it got, as
+deep as it needs.
 
 Empty and null texts have fingerprint zero, linked like any other. Rows with a
-null doc_id belong to no component; of repeated rows of one id each is returned.
-An empty table gives no rows.
+null doc_id belong to no component; of repeated rows of one id each is returned,
+with the component of its own text. A component is named by its least id, so ties
+cannot arise. Bits of a very long text are summed in pieces. An empty table gives
+no rows. Other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +46,12 @@ from .components import components
 LINK = 3
 #: Fingerprints that the tree is fitted to, at most, and distinct fingerprints in a leaf, on average.
 SAMPLE, LEAF = 20_000, 4096
+#: Splits of the tree that deals a table, at most; and those of one that is also dealt by bands.
+DEPTH, BANDED = 6, 2
 #: Homes below which a task compares without splitting further.
 BRUTE = 512
+#: Shingles whose bits are summed at once.
+PIECE = 1 << 16
 
 
 def fingerprint(data: bytes, shingle: int = 3) -> int:
@@ -52,9 +65,12 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], 42) for i, j in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
+    bits, n = np.zeros(64, np.int64), len(words) - shingle + 1
+    for k in range(0, n, PIECE):
+        some = zip(starts[k : min(k + PIECE, n)].tolist(), ends[k + shingle - 1 : k + PIECE + shingle - 1].tolist(), strict=True)
+        hashes = np.array([digest(joined[i:j], 42) for i, j in some], np.uint64)
+        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -176,16 +192,31 @@ def leaf_forest(fps: np.ndarray, home: np.ndarray, link: int = LINK) -> np.ndarr
     return forest.roots()
 
 
+def plan(n: int) -> tuple[int, int]:
+    """Depth of the tree that deals n fingerprints, and leading bits of each band: no bands where the tree alone will do."""
+    depth = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
+    return (depth, 0) if depth <= DEPTH else (BANDED, min(16, depth))
+
+
+def bands(rows: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """For each of four bands, which group of equal leading bits the rows are in."""
+    for k in range(4):
+        yield (rows >> np.uint64(16 * k + 16 - bits) & np.uint64((1 << bits) - 1)).astype(np.int64) << 2 | k
+
+
 def links(distinct: DataFrame, link: int = LINK) -> DataFrame:
     """(u, v): links that connect all fingerprints (distinct rows fp) that any chain of links connects."""
-    n = distinct.count()
+    depth, bits = plan(distinct.count())
+    if bits and link > 3:
+        raise ValueError("four bands find links of three bits at most")
     sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = fit_tree(sample, max(0, math.ceil(math.log2(max(1, n) / LEAF))))
+    tree = fit_tree(sample, depth)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for leaf, rows, home in route(tree, b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), link):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf)), pa.array(rows.view(np.int64)), pa.array(home)], names=["leaf", "fp", "home"])
+                for group in bands(rows, bits) if bits else [np.zeros(len(rows), np.int64)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(group << 16 | leaf), pa.array(rows.view(np.int64)), pa.array(home)], names=["leaf", "fp", "home"])
 
     def join(table: pa.Table) -> pa.Table:
         fps, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy()
@@ -230,11 +261,11 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     from .common import own_name
 
     rows, of = classes(docs)
-    ids = materialised(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")), "ids")
-    found = ids.filter("lo = hi").join(of, F.col("lo") == F.col("fp")).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    ids = materialised(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n")), "ids")
+    found = ids.filter("n = 1").join(of, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     found = materialised(found, "kept")
-    # ids whose rows differ: only these rows are fingerprinted again
-    several = ids.filter("lo <> hi").select(F.col("doc_id").alias("_several"))
+    # ids of several rows: only these are fingerprinted again, and only their texts are ordered
+    several = ids.filter("n > 1").select(F.col("doc_id").alias("_several"))
     pairs = rows.join(several, F.col("doc_id") == F.col("_several"), "left_semi").distinct().join(of, "fp").filter("doc_id = component_id")
     pairs = materialised(pairs.select(F.col("doc_id").alias("_kept"), F.col("fp").alias("_fp"), F.col("root").alias("_root")), "pairs")
 
@@ -244,7 +275,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
 
     nth, fp, root, kept = (own_name(docs, n) for n in ("_nth", "_fp", "_root", "_kept"))
     first = lambda df, key: df.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
-    one = first(docs.join(found, docs["doc_id"].cast("long") == found["_kept"], "left_semi"), "doc_id")
+    one = docs.join(found, docs["doc_id"].cast("long") == found["_kept"], "left_semi")
     pairs = pairs.select(F.col("_kept").alias(kept), F.col("_fp").alias(f"{fp}_of"), F.col("_root").alias(root))
     some = docs.join(pairs.select(kept).distinct(), docs["doc_id"].cast("long") == F.col(f"`{kept}`"), "left_semi").withColumn(fp, print_of(F.col("text").cast("string")))
     apart = first(some.join(pairs, (some["doc_id"].cast("long") == pairs[kept]) & (some[fp] == pairs[f"{fp}_of"])), root)
