@@ -1,13 +1,13 @@
 """Token-id files in Simple-8b: word-aligned binary coding with block offsets.
 
-A 64-bit word holds a 4-bit selector and 60 bits of payload. Selectors 1 to 15
+A 64-bit word holds a 4-bit selector and 60 bits of payload. Selectors 1 to 14
 pack from 60 one-bit ids down to one 60-bit id; selector 0 is an escape, whose
 payload is the index of a wider id in the block's escape list.
 
 File (little-endian): the magic, then blocks, then the index and its length.
 A block holds whole documents and stands for itself::
 
-    n_docs u32, n_ids u32, n_words u32, n_escapes u32,
+    n_docs u32, n_ids u32, n_words u32, n_escapes u32, n_nameless u32,
     doc_id i64[n_docs], n_tokens u32[n_docs], words u64[n_words], escapes u64[n_escapes]
 
 The index has one row of three u64 for each block: its byte offset, the ids and
@@ -15,8 +15,11 @@ the documents before it in the file. A reader can so decode any block alone, and
 decodes it by selector with array operations, without a loop over words.
 
 Null texts count as empty; a document is its ids and the end id, so empty texts
-have one. Rows with a null id come first, coded as the smallest long. Rows with
-equal ids follow one another, ordered by text. An empty table gives no rows.
+have one. Rows with a null id come first: a block's first ``n_nameless`` documents
+have none. Rows with equal ids follow one another, ordered by a hash of the text and
+the text, so that ties are broken the same way each time; a range of files may part
+them. A very long text is a block of its own, encoded and held whole. An empty
+table gives no rows. Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -32,14 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_of, id_and_text, shared_dir
-from .tokens import in_groups, piece_encoder, vocabulary_path
+from .tokens import for_a_task, in_groups, piece_encoder, vocabulary_path
 
 MAGIC = b"LFS8B001"
-NO_ID = -(2**63)
 #: Ids in a block, unless one document is longer.
 BLOCK_IDS = 65_536
 #: Bits of an id by selector; a word holds 60 // bits of them. Selector 0 is the escape.
-BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60], np.int64)
+BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 COUNT = np.array([1, *(60 // b for b in BITS[1:].tolist())], np.int64)
 #: The selectors that the encoder tries, from the most ids to the fewest.
 TRIED = [s for s in range(1, 15)]
@@ -113,16 +115,16 @@ def decode(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def write_file(out, docs: Iterable[tuple[int, np.ndarray]]) -> tuple[int, int]:
-    """Writes documents (id, ids) to a binary stream; returns how many documents and ids."""
+def write_file(out, docs: Iterable[tuple[int | None, np.ndarray]]) -> tuple[int, int]:
+    """Writes documents (id or None, ids) to a binary stream, those without an id first; returns how many documents and ids."""
     out.write(MAGIC)
     at, total, n_docs, index = len(MAGIC), 0, 0, []
     for group in in_groups(docs, lambda d: len(d[1]), BLOCK_IDS):
         ids = np.concatenate([x for _, x in group]) if group else np.empty(0, np.uint64)
         words, escapes = encode(ids)
         block = b"".join((
-            struct.pack("<4I", len(group), len(ids), len(words), len(escapes)),
-            np.array([d for d, _ in group], "<i8").tobytes(),
+            struct.pack("<5I", len(group), len(ids), len(words), len(escapes), sum(d is None for d, _ in group)),
+            np.array([d or 0 for d, _ in group], "<i8").tobytes(),
             np.array([len(x) for _, x in group], "<u4").tobytes(),
             words.astype("<u8").tobytes(),
             escapes.astype("<u8").tobytes(),
@@ -145,14 +147,14 @@ def read_index(file) -> np.ndarray:
     return np.frombuffer(file.read(24 * n), "<u8").reshape(n, 3)
 
 
-def read_block(file, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, their token counts and all their ids."""
+def read_block(file, offset: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Document ids, how many of the first have none, their token counts and all their ids."""
     file.seek(offset)
-    n_docs, n_ids, n_words, n_escapes = struct.unpack("<4I", file.read(16))
+    n_docs, n_ids, n_words, n_escapes, nameless = struct.unpack("<5I", file.read(20))
     docs = np.frombuffer(file.read(8 * n_docs), "<i8")
     counts = np.frombuffer(file.read(4 * n_docs), "<u4")
     words = np.frombuffer(file.read(8 * n_words), "<u8")
-    return docs, counts, decode(words, np.frombuffer(file.read(8 * n_escapes), "<u8"), n_ids)
+    return docs, nameless, counts, decode(words, np.frombuffer(file.read(8 * n_escapes), "<u8"), n_ids)
 
 
 def _filesystem(uri: str):
@@ -173,25 +175,25 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(vocabulary)
-
-        def encoded():
+        def encoded(encoder):
             for batch in batches:
                 rows = ((i.as_py(), t.as_py() or "") for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True))
                 for group in in_groups(rows, lambda r: len(r[1]), 1_000_000):
                     for (doc, _), ids in zip(group, encoder.encode_many([t for _, t in group]), strict=True):
-                        yield NO_ID if doc is None else doc, np.frombuffer(ids + end, "<u4").astype(np.uint64)
+                        yield doc, np.frombuffer(ids + end, "<u4").astype(np.uint64)
 
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         system, path = _filesystem(f"{folder}/part-{part:06d}.s8b")
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(f"{path}.{attempt}.tmp") as out:
-            n_docs, n_ids = write_file(out, encoded())
+        with system.open_output_stream(f"{path}.{attempt}.tmp") as out, for_a_task(piece_encoder(vocabulary)) as encoder:
+            n_docs, n_ids = write_file(out, encoded(encoder))
         system.move(f"{path}.{attempt}.tmp", path)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}.s8b"], "n_docs": [n_docs], "n_ids": [n_ids]}, schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = id_and_text(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # by a hash too: rows without an id, or all of one id, are a range of their own that several tasks share
+    known = id_and_text(docs).withColumn("h", F.xxhash64("text"))
+    ordered = known.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     files = ordered.mapInArrow(write, "part long, path string, n_docs long, n_ids long").collect()
     return sorted((f.part, f.path, f.n_docs, f.n_ids) for f in files)
 
@@ -210,12 +212,12 @@ def read_token_files(spark, files: list[tuple[int, str, int, int]], with_ids: bo
                 system, name = _filesystem(path)
                 with system.open_input_file(name) as file:
                     for offset, before, _ in read_index(file).tolist():
-                        docs, counts, ids = read_block(file, offset)
+                        docs, nameless, counts, ids = read_block(file, offset)
                         ends = np.cumsum(counts.astype(np.int64))
                         starts = ends - counts
                         raw = memoryview(ids.astype("<u4").tobytes())
                         blobs = [raw[4 * i : 4 * j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-                        columns = [pa.array(docs, mask=docs == NO_ID), pa.array(starts + before + base), pa.array(counts.astype(np.int64)), pa.array([crc32_of(b) for b in blobs], pa.int64())]
+                        columns = [pa.array(docs, mask=np.arange(len(docs)) < nameless), pa.array(starts + before + base), pa.array(counts.astype(np.int64)), pa.array([crc32_of(b) for b in blobs], pa.int64())]
                         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                         if with_ids:
                             columns, names = [*columns, pa.array([bytes(b) for b in blobs], pa.binary())], [*names, "ids"]
