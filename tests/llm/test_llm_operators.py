@@ -64,6 +64,13 @@ def test_op2_files_hold_all_ids_in_order(spark, docs, empty, rows, ids):
     assert simple8b.read_token_files(spark, simple8b.write_token_files(empty, shared_dir(spark), VOCABULARY)).count() == 0
 
 
+def test_op2_least_id_and_many_rows_of_one_id(spark):
+    rows = [(-(2**63), "least"), (None, "none"), *((5, f"text {i}") for i in range(200)), *((None, f"text {i}") for i in range(200))]
+    files = simple8b.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), shared_dir(spark), VOCABULARY)
+    got = simple8b.read_token_files(spark, files).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 201 + [-(2**63)] + [5] * 200 and sum(f[2] > 0 for f in files) > 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 59, 60, 61, 5000])
 @pytest.mark.parametrize("high", [2, 300, 2**32, 2**63])
 def test_simple8b_round_trip(n, high):
@@ -142,9 +149,9 @@ def brute_counts(t):
 
 
 def test_op10_counts_and_filter(spark, docs, rows, empty):
-    signals, names = quality_rules.with_signals(docs.filter("length(coalesce(text, '')) < 50000"))
+    signals, names = quality_rules.with_signals(docs)
     got = Counter(tuple(r) for r in signals.select("doc_id", *(F.col(f"`{names[k]}`") for k in quality_rules.BASE)).collect())
-    assert got == Counter((i, *brute_counts(t)) for i, t, *_ in rows if len(t or "") < 50000)
+    assert got == Counter((i, *brute_counts(t)) for i, t, *_ in rows)
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
     kept = quality_rules.filter_quality(docs, labels)
     assert kept.columns == docs.columns
@@ -153,6 +160,59 @@ def test_op10_counts_and_filter(spark, docs, rows, empty):
     assert quality_rules.filter_quality(empty, labels.limit(0)).count() == 0
 
 
+def brute_cutoffs(rows, labels):
+    """The certified cutoff of best balance for each stratum and signal, by plain counting and exact binomial sums."""
+    from math import comb
+
+    marks = {}
+    for i, m in labels:
+        marks[i] = min(marks.get(i, m), m)
+    at = {}
+    for i, t in sorted(set(rows)):
+        w, lines = t.encode().split(), [x for x in t.split("\n") if x.encode().split()]
+        if i in marks and len(w) >= 10:
+            chars = max(1, sum(len(x.decode()) for x in w))
+            signals = {
+                "symbol_ratio": sum(t.count(c) for c in "#*$%&|<>") / chars, "upper_ratio": sum(c.isupper() for c in t) / chars, "shout_ratio": t.count("!") / len(w),
+                "dup_line_ratio": (len(lines) - len(set(lines))) / max(1, len(lines)), "same_word_ratio": 1 - len(set(w)) / len(w),
+            }
+            at.setdefault(sum(len(w) >= b for b in quality_rules.BANDS) - 1, []).append((marks[i], signals))
+    p, alpha, out = quality_rules.RISK / 5, quality_rules.LEVEL / 20, {}
+    for band, found in at.items():
+        n = sum(m for m, _ in found)
+        for s, cutoffs in quality_rules.CUTOFFS.items():
+            best = (0, None)
+            for c in cutoffs:
+                k = sum(m == 1 and x[s] >= c for m, x in found)
+                if k > p * n or sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > alpha:
+                    break
+                best = max(best, (sum(m == 0 and x[s] >= c for m, x in found) - quality_rules.PENALTY * k, c), key=lambda z: z[0])
+            if best[1] is not None:
+                out[band, s] = best[1]
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_op10_cutoffs_are_those_of_plain_counting(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", broadcast)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    rows, labels = [], []
+    for i in range(2600):
+        w = [word() for _ in range(12)]
+        if i % 13 == 0:
+            w = [x + rnd.choice(["%", "%%", "!"]) for x in w]
+        if i == 400:
+            w[0] = "AB"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 13 > 0)))
+    rows += [rows[0]] * 40 + [(9000, "%%% " * 30)]
+    labels += [(None, 0), (4, None), (8000, 1), (26, 1), (26, 0)]
+    got = quality_rules.calibrate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    want = brute_cutoffs(rows, [x for x in labels if None not in x])
+    assert got == want and (0, "symbol_ratio") in want and (0, "upper_ratio") not in want
+
+
 def test_binomial_tail_is_exact(spark):
     from math import comb
 
@@ -211,6 +271,31 @@ def test_tree_loses_no_link(monkeypatch):
     assert homes == len(fps) and (got.roots() == want.roots()).all()
 
 
+def test_op3_bands_lose_no_link(spark, monkeypatch):
+    """A table too large for the tree alone: few rows a leaf, so that bands deal it too."""
+    from lumenframe.llm.components import components
+
+    monkeypatch.setattr(simhash_vptree, "LEAF", 8)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    flip = lambda x: x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64))
+    fps = np.unique(np.concatenate([base, flip(flip(flip(base))), flip(flip(flip(flip(base)))), *[flip(flip(base[:1])) for _ in range(60)]]))
+    assert simhash_vptree.plan(len(fps)) == (2, 7)
+    want = simhash_vptree.Forest(len(fps))
+    want.link(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3))
+    found = components(simhash_vptree.links(spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long"))).collect()
+    got, place = simhash_vptree.Forest(len(fps)), {x: i for i, x in enumerate(fps.view(np.int64).tolist())}
+    got.link(np.array([place[r.node] for r in found]), np.array([place[r.root] for r in found]))
+    assert (got.roots() == want.roots()).all() and len(set(got.roots().tolist())) < 600
+
+
+def test_op3_long_text_in_pieces(monkeypatch):
+    text = b" ".join(b"w%d" % (i * i % 97) for i in range(1000))
+    whole = simhash_vptree.fingerprint(text)
+    monkeypatch.setattr(simhash_vptree, "PIECE", 7)
+    assert simhash_vptree.fingerprint(text) == whole == brute_fingerprint(text.decode())
+
+
 def brute_kept(rows):
     texts = {}
     for i, t, *_ in rows:
@@ -244,13 +329,28 @@ def test_op7_removes_what_earlier_documents_hold(spark, docs, rows, empty, monke
     assert fm_dedup.remove_repeated(empty).count() == 0
 
 
-def test_op7_many_copies_in_several_salts(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1, 5, 1000])
+def test_op7_hot_keys_are_cut_anew(spark, monkeypatch, hot):
+    """Near copies with shared and unshared edits, exact copies, and a passage that many texts quote; all in a very long text too."""
+    monkeypatch.setattr(fm_dedup, "HOT", hot)
+    monkeypatch.setattr(fm_dedup, "PIECE", 30)
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
-    passage = " ".join(word() for _ in range(60))
-    rows = [(i, " ".join(word() for _ in range(20)) + " " + passage + " " + " ".join(word() for _ in range(20))) for i in range(60)]
-    found = fm_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: [(s.at, s.n) for s in r.spans] for r in found} == {i: [(20, 60)] for i in range(1, 60)}
+    passage, text = [word() for _ in range(60)], [word() for _ in range(160)]
+
+    def near():
+        edited = list(text)
+        for _ in range(2):
+            edited[rnd.randrange(160)] = rnd.choice(["one", "two", word()])
+        return " ".join(edited)
+
+    rows = [(i, " ".join([*(word() for _ in range(20)), *passage, *(word() for _ in range(20))])) for i in range(25)]
+    rows += [(100 + i, near()) for i in range(40)] + [(200 + i, " ".join(text)) for i in range(10)] + [(50, "se " * 300), (51, "se " * 90)]
+    rows += [(7, near()), (300, " ".join([*(word() for _ in range(5000)), *text, *(word() for _ in range(5000))]))]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, tuple((r.text or "").encode().split())) for r in fm_dedup.remove_repeated(docs).collect()}
+    assert got == {(i, tuple(k.split())) for i, _, gone, k in brute_kept(rows) if not gone or k}
 
 
 def test_fm_index_matches_brute_force():
@@ -264,20 +364,48 @@ def test_fm_index_matches_brute_force():
             assert got[k] == (min(held) if held else -1)
 
 
-def test_op4_is_exact(spark):
+def vector_rows():
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 24)]) for i in range(300)]
-    rows += [(400, rows[0][1]), (401, None), (402, [1.0, None]), (403, [float("nan")] * 24), (404, []), (405, [float("inf")] * 24), (None, rows[1][1]), (406, [0.5] * 3), rows[2]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    v = {i: np.pad(np.floor(256 * np.array(e)), (0, 24 - len(e))) for i, e in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e)}
-    want = {(q, r, c, s) for q in v if q % 50 == 0 for r, (s, c) in enumerate(sorted(((int(v[q] @ v[c]), c) for c in v if c != q), key=lambda x: (-x[0], x[1]))[:5], 1)}
-    assert set(map(tuple, topk_bond.top_k(topk_bond.quantised(df), F.col("vec_id") % 50 == 0).collect())) == want
+    rows += [(400, rows[0][1]), (401, None), (402, [1.0, None]), (403, [float("nan")] * 24), (404, []), (405, [float("inf")] * 24), (None, rows[1][1]), (406, [0.5] * 3)]
+    return [*rows, rows[2], rows[50], rows[50], (100, rows[0][1]), (100, []), (None, [])]
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_op4_is_exact(spark, monkeypatch, block):
+    """Brute force and SQL on a table with repeated ids, rows without one, and empty vectors; one block and many."""
+    import duckdb
+
+    monkeypatch.setattr(topk_bond, "CANDIDATES", block)
+    monkeypatch.setattr(topk_bond, "QUERIES", block // 10)
+    rows = vector_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    v = [(i, np.pad(np.floor(256 * np.array(e)), (0, 24 - len(e)))) for i, e in rows if e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    want = Counter()
+    for a, (q, x) in enumerate(v):
+        if q is not None and q % 50 == 0:
+            best = sorted(((-int(x @ y), c is None, c) for b, (c, y) in enumerate(v) if b != a), key=lambda z: (z[0], z[1], z[2] or 0))[:5]
+            want.update((q, r, c, -s) for r, (s, _, c) in enumerate(best, 1))
+    got = topk_bond.top_k(topk_bond.quantised(df), F.col("vec_id") % 50 == 0)
+    assert Counter(map(tuple, got.collect())) == want
+    embeddings = df.toArrow()  # noqa: F841
+    assert Counter(duckdb.sql(topk_bond.SQL).fetchall()) == want
     assert topk_bond.top_k(topk_bond.quantised(df.limit(0)), F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_op4_large_components_stay_exact():
     q, x = np.array([[2**40, -(2**40)]]), np.array([[2**40, 5], [-(2**40), 7], [3, 2**39]])
-    assert [t.tolist() for t in topk_bond.search(q, np.array([9]), x, np.array([1, 2, 3]), 1)] == [[9], [1], [2**63 - 1]]
+    rows = np.array([1, 2, 3])
+    assert [t.tolist() for t in topk_bond.search(q, np.array([9]), x, rows, rows, 1)] == [[0], [0], [2**63 - 1]]
+
+
+def test_op4_known_scores_prune_and_lose_nothing():
+    rng = np.random.default_rng(2)
+    q, x, rows = rng.integers(-99, 99, (7, 40)), rng.integers(-99, 99, (500, 40)), np.arange(500)
+    scores = q @ x.T
+    for known in (None, np.sort(scores, 1)[:, -3].tolist()):
+        i, j, s = topk_bond.search(q, np.arange(1000, 1007), x, rows, rows, 3, known)
+        assert sorted(zip(i.tolist(), s.tolist())) == sorted((a, b) for a in range(7) for b in np.sort(scores[a])[-3:].tolist()) and (scores[i, j] == s).all()
 
 
 def labelled(spark):
