@@ -182,3 +182,176 @@ chi_squared_cdf = _cdf(lambda df, x: _incomplete_gamma(df / 2, x / 2))
 beta_cdf = _cdf(_incomplete_beta)
 f_cdf = _cdf(lambda a, b, x: _incomplete_beta(a / 2, b / 2, a * x / (a * x + b)))
 binomial_cdf = _cdf(lambda n, p, k: 1.0 if k >= n else 0.0 if k < 0 else _incomplete_beta(n - math.floor(k), math.floor(k) + 1, 1 - p))
+
+
+def _inverse_beta(a: float, b: float, p: float) -> float:
+    """The x with _incomplete_beta(a, b, x) = p, by halving the interval."""
+    if not 0 <= p <= 1 or a <= 0 or b <= 0:
+        raise ValueError("inverse_beta_cdf needs a, b > 0 and 0 <= p <= 1")
+    low, high = 0.0, 1.0
+    while (middle := (low + high) / 2) not in (low, high):
+        if _incomplete_beta(a, b, middle) < p:
+            low = middle
+        else:
+            high = middle
+    return high if p > 0 else 0.0
+
+
+inverse_beta_cdf = _cdf(_inverse_beta)
+
+#: SpookyHash V2, published algorithm: its constant and the rotations of its rounds (fixed values).
+_SPOOKY = 0xDEADBEEFDEADBEEF
+_LONG_ROTATIONS = (11, 32, 43, 31, 17, 28, 39, 57, 55, 54, 22, 46)
+_LONG_END_ROTATIONS = (44, 15, 34, 21, 38, 33, 10, 13, 38, 53, 42, 54)
+_SHORT_ROTATIONS = (50, 52, 30, 41, 54, 48, 38, 37, 62, 34, 5, 36)
+_SHORT_END_ROTATIONS = (15, 52, 26, 51, 28, 9, 47, 54, 32, 25, 63)
+_M64 = 2**64 - 1
+
+
+def _rotated(x: int, k: int) -> int:
+    return (x << k | x >> (64 - k)) & _M64
+
+
+def _spooky_short(data: bytes) -> int:
+    """First half of the 128-bit hash of fewer than 192 bytes, with seed 0."""
+    h, n = [0, 0, _SPOOKY, _SPOOKY], len(data)
+    word = lambda i: int.from_bytes(data[i : i + 8], "little")
+
+    def mix() -> None:
+        for k, r in enumerate(_SHORT_ROTATIONS):
+            x, y, z = (k + 2) % 4, (k + 3) % 4, k % 4
+            h[x] = (_rotated(h[x], r) + h[y]) & _M64
+            h[z] ^= h[x]
+
+    at = 0
+    while n - at >= 32:
+        h[2], h[3] = (h[2] + word(at)) & _M64, (h[3] + word(at + 8)) & _M64
+        mix()
+        h[0], h[1] = (h[0] + word(at + 16)) & _M64, (h[1] + word(at + 24)) & _M64
+        at += 32
+    if n - at >= 16:
+        h[2], h[3] = (h[2] + word(at)) & _M64, (h[3] + word(at + 8)) & _M64
+        mix()
+        at += 16
+    h[3] = (h[3] + (n << 56)) & _M64
+    if at < n:
+        h[2] = (h[2] + int.from_bytes(data[at : min(at + 8, n)], "little")) & _M64
+        h[3] = (h[3] + int.from_bytes(data[at + 8 : n], "little")) & _M64
+    else:
+        h[2], h[3] = (h[2] + _SPOOKY) & _M64, (h[3] + _SPOOKY) & _M64
+    for k, r in enumerate(_SHORT_END_ROTATIONS):
+        x, y = (k + 3) % 4, (k + 2) % 4
+        h[x] ^= h[y]
+        h[y] = _rotated(h[y], r)
+        h[x] = (h[x] + h[y]) & _M64
+    return h[0]
+
+
+def _spooky_long(data: bytes) -> int:
+    """First half of the 128-bit hash of 192 bytes and more: twelve words in turn."""
+    h = [0, 0, _SPOOKY] * 4
+    whole = len(data) // 96 * 96
+    tail = (data[whole:] + bytes(96 - (len(data) - whole) - 1)) + bytes([len(data) - whole])
+    for at in range(0, whole, 96):
+        for k, r in enumerate(_LONG_ROTATIONS):
+            h[k] = (h[k] + int.from_bytes(data[at + 8 * k : at + 8 * k + 8], "little")) & _M64
+            h[(k + 2) % 12] ^= h[(k + 10) % 12]
+            h[(k + 11) % 12] ^= h[k]
+            h[k] = _rotated(h[k], r)
+            h[(k + 11) % 12] = (h[(k + 11) % 12] + h[(k + 1) % 12]) & _M64
+    for k in range(12):
+        h[k] = (h[k] + int.from_bytes(tail[8 * k : 8 * k + 8], "little")) & _M64
+    for _ in range(3):
+        for k, r in enumerate(_LONG_END_ROTATIONS):
+            x, y, z = (k + 11) % 12, (k + 1) % 12, (k + 2) % 12
+            h[x] = (h[x] + h[y]) & _M64
+            h[z] ^= h[x]
+            h[y] = _rotated(h[y], r)
+    return h[0]
+
+
+def spooky(data: bytes) -> int:
+    return _spooky_short(data) if len(data) < 192 else _spooky_long(data)
+
+
+spooky_hash_v2_64 = _each(lambda b: spooky(_bytes(b)).to_bytes(8, "big"), pa.binary(), "binary")
+spooky_hash_v2_32 = _each(lambda b: (spooky(_bytes(b)) & 0xFFFFFFFF).to_bytes(4, "big"), pa.binary(), "binary")
+
+
+def _hive(v) -> int:
+    """Hive's 32-bit hash of one value."""
+    if isinstance(v, bool):
+        return int(v)
+    if isinstance(v, float):
+        v = struct.unpack(">q", struct.pack(">d", v + 0.0))[0]
+    if isinstance(v, int):
+        return v if -(2**31) <= v < 2**31 else (v ^ (v % 2**64 >> 32)) & 0xFFFFFFFF
+    h = 0
+    for b in _bytes(v):
+        h = (31 * h + (b - 256 if b > 127 else b)) & 0xFFFFFFFF
+    return h
+
+
+def hive_hash(*columns: Column) -> Column:
+    """Hive's hash of integers, doubles, booleans and strings: 31 times the hash so far and the next one's; nulls count as 0."""
+
+    @F.arrow_udf(T.IntegerType())
+    def run(*arrays: pa.Array) -> pa.Array:
+        out = []
+        wide = [pa.types.is_int64(a.type) for a in arrays]
+        for row in zip(*(a.to_pylist() for a in arrays), strict=True):
+            h = 0
+            for v, long in zip(row, wide, strict=True):
+                one = 0 if v is None else (v ^ (v % 2**64 >> 32)) if long else _hive(v)
+                h = (31 * h + one) & 0xFFFFFFFF
+            out.append((h + 2**31) % 2**32 - 2**31)
+        return pa.array(out, pa.int32())
+
+    return run(*columns)
+
+
+def decimal_type(op: str, left: tuple[int, int], right: tuple[int, int], lossy: bool) -> tuple[int, int]:
+    """Precision and scale of left op right. Lossy: digits after the point give way to those before it; else both are cut at 38."""
+    (p1, s1), (p2, s2) = left, right
+    if op in "+-":
+        s = max(s1, s2)
+        p = max(p1 - s1, p2 - s2) + s + 1
+    elif op == "*":
+        p, s = p1 + p2 + 1, s1 + s2
+    elif lossy:
+        s = max(6, s1 + p2 + 1)
+        p = p1 - s1 + s2 + s
+    else:
+        before, s = min(38, p1 - s1 + s2), min(38, max(6, s1 + p2 + 1))
+        if before + s > 38:
+            s -= (before + s - 38) // 2 + 1
+            before = 38 - s
+        p = before + s
+    if p <= 38:
+        return p, s
+    return (38, max(38 - (p - s), min(s, 6))) if lossy else (38, min(s, 38))
+
+
+def decimal_arithmetic(op: str, lossy: bool = False) -> Callable[..., Column]:
+    """A decimal operator of columns and their (precision, scale); null where the result does not fit or the divisor is 0."""
+    from decimal import ROUND_HALF_UP, Context, Decimal
+
+    def build(a: Column, b: Column, left: tuple[int, int], right: tuple[int, int]) -> Column:
+        p, s = decimal_type(op, left, right, lossy)
+        a, b = a.cast(T.DecimalType(*left)), b.cast(T.DecimalType(*right))
+        exact, unit, most = Context(prec=160), Decimal(1).scaleb(-s), Decimal(10) ** (p - s)
+        calculate = {"+": exact.add, "-": exact.subtract, "*": exact.multiply, "/": exact.divide}[op]
+
+        def one(x: Decimal, y: Decimal) -> Decimal | None:
+            if op == "/" and not y:
+                return None
+            r = calculate(x, y).quantize(unit, ROUND_HALF_UP, exact)
+            return r if abs(r) < most else None
+
+        @F.arrow_udf(T.DecimalType(p, s))
+        def run(x: pa.Array, y: pa.Array) -> pa.Array:
+            return pa.array([None if v is None or w is None else one(v, w) for v, w in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.decimal128(p, s))
+
+        return run(a, b)
+
+    return build

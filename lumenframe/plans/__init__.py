@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import aggregates, python_surface, relational, scalars, storage, tpch, windows
+from . import aggregates, dialect_functions, python_surface, relational, scalars, storage, tpch, windows
 
-MODULES = (tpch, relational, windows, scalars, aggregates, storage, python_surface)
+MODULES = (tpch, relational, windows, scalars, dialect_functions, aggregates, storage, python_surface)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
