@@ -34,6 +34,32 @@ def mark_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return joined.withColumn(mark, found).select(*left.columns, mark)
 
 
+def null_aware_anti_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """The rows that SQL's NOT IN keeps: none where right has a null key, none with a null key unless right is empty.
+
+    A shuffled join on the keys and one row of two booleans: right is not broadcast, whatever its size.
+    """
+    mark = "_in"
+    return mark_join(left, right, left_key, right_key, mark, null_aware=True).filter(~F.col(mark)).drop(mark)
+
+
+def sum_since(df: DataFrame, keys: list[str], order: str, value: str, before: Column, name: str) -> DataFrame:
+    """For each row, the sum of value over it and as many rows of its keys before it as a column says.
+
+    A frame whose bounds are columns: running sums, and a join with the running sum
+    of the row before the frame, so that work is linear in the rows and not in the frames.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = df.withColumn("_i", F.row_number().over(w)).withColumn("_s", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("_j", F.col("_i") - before - 1)
+    ends = rows.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col("_i").alias("_end"), F.col("_s").alias("_until"))
+    same = F.col("_j") == F.col("_end")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    met = rows.join(ends, same, "left")
+    return met.select(*df.columns, (F.col("_s") - F.coalesce("_until", F.lit(0))).alias(name))
+
+
 def lookup_join(probe: DataFrame, table: DataFrame, on: Column, how: str = "inner") -> DataFrame:
     """Join with a lookup table: broadcast if its estimated size allows, shuffled otherwise."""
     return probe.join(F.broadcast(table) if _plan_bytes(table) <= LOOKUP_BYTES else table, on, how)
@@ -110,6 +136,17 @@ def assign_unique_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def trace(df: DataFrame, path: str) -> DataFrame:
+    """Records the rows that an operator reads: df itself, from the written copy."""
+    df.write.mode("overwrite").parquet(path)
+    return trace_scan(df.sparkSession, path, df.schema)
+
+
+def trace_scan(spark, path: str, schema=None) -> DataFrame:
+    """Replays recorded rows."""
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+
+
 def python_operator(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A Python function over Arrow batches."""
 

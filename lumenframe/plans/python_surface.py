@@ -80,12 +80,6 @@ def _consumed(rows):
     return rows.select("o_orderkey").mapInArrow(consume, "n long").agg(F.sum("n").alias("n"))
 
 
-@R.add("callback_sink", "SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 = 0")
+@R.add("callback_sink", "SELECT count(*) AS n FROM orders")
 def callback(t):
-    return _consumed(t.orders.filter("o_orderkey % 2 = 0"))
-
-
-@R.add("callback_sink_all", "SELECT count(*) AS n FROM orders")
-def callback_all(t):
-    """Every batch of orders, where ``callback_sink`` hands over the even keys."""
     return _consumed(t.orders)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql.functions import col
+
+from lumenframe.operators import relational as op
+
 from .registry import Registry
 
 R = Registry()
@@ -22,21 +26,17 @@ R.columns("window_values", "{orders}", {
 N = "CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderkey END"
 R.columns("window_ignore_nulls", "{orders}", {
     "fv": (f"first_value({N}) IGNORE NULLS {W}", f"first_value({N} IGNORE NULLS) {W}"), "lv": (f"last_value({N}) IGNORE NULLS {W}", f"last_value({N} IGNORE NULLS) {W}"),
-    "lg": (f"lag({N}) IGNORE NULLS {W}", f"lag({N} IGNORE NULLS) {W}"),
+    "lg": (f"lag({N}) IGNORE NULLS {W}", f"lag({N} IGNORE NULLS) {W}"), "ld": (f"lead({N}) IGNORE NULLS {W}", f"lead({N} IGNORE NULLS) {W}"),
 }, "o_orderkey")
 F = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 R.columns("window_frames", "{orders}", {
     "rows_both": f"round(sum(o_totalprice) OVER ({F} ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING), 2)",
     "rows_after": f"count(*) OVER ({F} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)",
     "rows_before": f"max(o_totalprice) OVER ({F} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
-    "range_both": "count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)",
+    "range_both": "count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING)",
     "running": f"round(avg(o_totalprice) {W}, 4)", "whole": "min(o_totalprice) OVER (PARTITION BY o_custkey)",
 }, "o_orderkey")
-# a frame whose bounds are columns: Spark wants literals, so the ordered partition is kept as an array and sliced
-R.sql(
-    "window_column_bounds",
-    """SELECT event_id, aggregate(slice(a, greatest(i - k, 1), i - greatest(i - k, 1) + 1), 0L, (s, x) -> s + x.event_id) AS s FROM (
-        SELECT event_id, CAST(event_id % 4 AS INT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
-               array_sort(collect_list(struct(event_id)) OVER (PARTITION BY user_id)) AS a FROM {events})""",
-    "SELECT event_id, (sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN event_id % 4 PRECEDING AND CURRENT ROW))::BIGINT AS s FROM events",
-)
+@R.add("window_column_bounds", "SELECT event_id, (sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN event_id % 4 PRECEDING AND CURRENT ROW))::BIGINT AS s FROM events")
+def window_column_bounds(t):
+    """A frame whose bounds are columns, which Spark's frames cannot have."""
+    return op.sum_since(t.events.select("user_id", "event_id"), ["user_id"], "event_id", "event_id", col("event_id") % 4, "s").select("event_id", "s")

@@ -21,21 +21,21 @@ def test_range_join_and_scan_take_every_order(spark, tmp_path):
     lines = [(k, k, 1, float(q), 1000.0, 0.05) for k, q in ((1, 1), (1999, 2), (2000, 2), (9000, 2), (90_000, 3), (900_000, 40))]
     put(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double")
     put(spark, tmp_path, "part", [(1, 2), (2, 3), (3, 41), (4, 20)], "p_partkey long, p_size int")
-    assert run("join_range_all", spark, tmp_path) == [(1, 4), (2, 4), (3, 1)]
-    assert [r[0] for r in run("scan_filter_project_all", spark, tmp_path)] == [1, 1999, 2000, 9000, 90_000]
+    assert run("join_range", spark, tmp_path) == [(1, 4), (2, 4), (3, 1)]
+    assert [r[0] for r in run("scan_filter_project", spark, tmp_path)] == [1, 1999, 2000, 9000, 90_000]
 
 
 def test_unnest_takes_whole_arrays_of_any_length(spark, tmp_path):
     long = [float(i) for i in range(70)]
     put(spark, tmp_path, "embeddings", [(1, [0.5, 1.5]), (2, long), (3, []), (4, None), (5, [2.0])], "vec_id long, embedding array<float>")
     want = [(1, 1, 0.5), (1, 2, 1.5), *((2, i + 1, x) for i, x in enumerate(long)), (5, 1, 2.0)]
-    assert run("unnest_ordinality_whole", spark, tmp_path) == want
-    assert run("unnest_array_whole", spark, tmp_path) == sorted((i, x) for i, _, x in want)
+    assert run("unnest_ordinality", spark, tmp_path) == want
+    assert run("unnest_array", spark, tmp_path) == sorted((i, x) for i, _, x in want)
 
 
 def test_callback_consumes_every_order(spark, tmp_path):
     put(spark, tmp_path, "orders", [(k,) for k in (1, 2, 3, 5, 7)], "o_orderkey long")
-    assert run("callback_sink_all", spark, tmp_path) == [(5,)]
+    assert run("callback_sink", spark, tmp_path) == [(5,)]
 
 
 def test_stream_deduplication_over_many_batches(spark, tmp_path):
