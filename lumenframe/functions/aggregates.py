@@ -24,7 +24,7 @@ def entropy(counts: Column) -> Column:
 
 
 def most_frequent(buckets: int, x: Column) -> Column:
-    return F.map_from_entries(F.transform(F.approx_top_k(x, F.lit(buckets)), lambda e: F.struct(e["item"], e["count"])))
+    return F.map_from_entries(F.transform(F.call_function("approx_top_k", x, F.lit(buckets)), lambda e: F.struct(e["item"], e["count"])))
 
 
 def checksum(*columns: Column) -> Column:
@@ -44,7 +44,7 @@ AGGREGATES: dict[str, Builder] = {
     "approx_distinct": lambda x, error=0.023: F.approx_count_distinct(x, error), "approx_most_frequent": most_frequent, "approx_set": lambda x: F.hll_sketch_agg(x, 12), "hyperloglog": lambda x: F.hll_sketch_agg(x, 12),
     "hll": lambda x, k=12: F.hll_sketch_estimate(F.hll_sketch_agg(x, k)), "hll_sketch": lambda x, k=12: F.hll_sketch_agg(x, k), "hll_union_sketches": lambda s: F.hll_union_agg(s), "merge": lambda s: F.hll_union_agg(s), "hll_estimate": F.hll_sketch_estimate,
     "cpc": lambda x, k=12: F.hll_sketch_estimate(F.hll_sketch_agg(x, k)), "cpc_sketch": lambda x, k=12: F.hll_sketch_agg(x, k), "theta": lambda x: F.theta_sketch_estimate(F.theta_sketch_agg(x)),
-    "kll": quantile, "req": quantile, "quantiles": lambda x, qs: F.percentile_approx(x, list(qs), 10_000), "fi": lambda x, k: F.approx_top_k(x, F.lit(k)),
+    "kll": quantile, "req": quantile, "quantiles": lambda x, qs: F.percentile_approx(x, list(qs), 10_000), "fi": lambda x, k: F.call_function("approx_top_k", x, F.lit(k)),
     **{f"kll_sketch_{t}": _kll("bigint") for t in "bcsil"}, "kll_sketch_f": _kll("float"), "kll_sketch_d": _kll("double"),
     "arbitrary": F.any_value, "bitwise_and_agg": F.bit_and, "bitwise_or_agg": F.bit_or, "bitwise_xor_agg": F.bit_xor, "checksum": checksum, "entropy": entropy, "geometric_mean": lambda x: F.exp(F.avg(F.ln(x))),
     "set_agg": F.collect_set, "set_union": lambda a: F.array_distinct(F.flatten(F.collect_set(a))), "map_agg": lambda k, v: F.map_from_entries(F.collect_set(F.struct(k, v))),

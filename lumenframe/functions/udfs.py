@@ -105,20 +105,24 @@ def murmur3_with_seed(seed: int, *columns: Column) -> Column:
 
 
 def might_contain(filter_bytes: bytes, column: Column) -> Column:
-    """Membership of longs in a Bloom filter serialised by Spark (version 1, big-endian)."""
-    version, hashes, words = struct.unpack(">iii", filter_bytes[:12])
-    if version != 1:
+    """Membership of longs in a Bloom filter serialised by Spark (versions 1 and 2, big-endian)."""
+    version, hashes = struct.unpack(">ii", filter_bytes[:8])
+    if version not in (1, 2):
         raise ValueError(f"Bloom filter version {version} is not supported")
-    bits = struct.unpack(f">{words}Q", filter_bytes[12 : 12 + 8 * words])
+    seed = struct.unpack(">i", filter_bytes[8:12])[0] if version == 2 else 0
+    at = 8 if version == 1 else 12
+    (words,) = struct.unpack(">i", filter_bytes[at : at + 4])
+    bits = struct.unpack(f">{words}Q", filter_bytes[at + 4 : at + 4 + 8 * words])
     size = 64 * words
+    signed = lambda h, n=32: (h + 2 ** (n - 1)) % 2**n - 2 ** (n - 1)
 
     def found(x: int) -> bool:
         data = (x % 2**64).to_bytes(8, "little")
-        signed = lambda h: (h + 2**31) % 2**32 - 2**31
-        a = signed(_murmur3(data, 0))
+        a = signed(_murmur3(data, seed % 2**32))
         b = signed(_murmur3(data, a % 2**32))
         for i in range(1, hashes + 1):
-            h = signed(a + i * b)
+            # version 2 steps through 64 bits, so that large filters are used whole
+            h = signed(a + i * b) if version == 1 else signed(a * (2**31 - 1) + i * b, 64)
             h = (~h if h < 0 else h) % size
             if not bits[h >> 6] >> (h & 63) & 1:
                 return False
