@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lumenframe.functions.dialects import function
+from lumenframe.operators import relational
 from lumenframe.sources import files, merge
 from lumenframe.streaming import events
 
@@ -18,9 +16,8 @@ QUERIES, ORACLE_SQL = R.queries, R.oracle
 
 
 def _folder(spark) -> str:
-    """A new folder that all executors see: below the checkpoint folder, or a temporary one on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lumenframe-shared"
-    return f"{base}/io-{uuid.uuid4().hex}"
+    """A new folder that all executors see."""
+    return events.shared_folder(spark, "io")
 
 
 def _round_trip(form: str, **options):
@@ -28,7 +25,8 @@ def _round_trip(form: str, **options):
         path = _folder(t.spark)
         table = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
         files.write(table, path, form, **options)
-        return files.read(t.spark, path, form, schema="o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+        read = {k: v for k, v in options.items() if k not in ("partition_by", "sort_by")}
+        return files.read(t.spark, path, form, **read, schema="o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
 
     return run
 
@@ -36,6 +34,8 @@ def _round_trip(form: str, **options):
 _SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders"
 for _form in ("parquet", "orc", "csv"):
     R.add(f"io_{_form}_round_trip", _SQL)(_round_trip(_form))
+for _form, _more in (("json", {}), ("csv", {"sep": "|", "nullValue": "-", "header": True})):
+    R.add("io_json_round_trip" if _form == "json" else "io_delimited_with_header", _SQL)(_round_trip(_form, **_more))
 R.add("io_partitioned_sorted_write", _SQL)(_round_trip("parquet", partition_by=["o_orderstatus"], sort_by=["o_orderkey"]))
 
 
@@ -60,6 +60,68 @@ def arrow_table(t):
     return files.from_arrow(t.spark, pa.table({"x": pa.array([1, 2], pa.int32()), "s": ["a", None]}))
 
 
+@R.add("io_text_lines", "SELECT n_name AS value FROM nation")
+def text_lines(t):
+    path = _folder(t.spark)
+    files.write(t.nation.select("n_name"), path, "text")
+    return files.read(t.spark, path, "text")
+
+
+@R.add("io_file_paths", "SELECT count(*) AS n, true AS named FROM orders")
+def file_paths(t):
+    """Rows with the path of their file."""
+    path = _folder(t.spark)
+    files.write(t.orders, path)
+    rows = files.read(t.spark, path, metadata=True)
+    return rows.agg(F.count("*").alias("n"), F.bool_and(F.col("`$path`").endswith(".parquet")).alias("named"))
+
+
+@R.add("io_append_overwrite", "SELECT r_regionkey, 2::BIGINT AS n FROM region")
+def append_overwrite(t):
+    path = _folder(t.spark)
+    files.write(t.nation.select(F.col("n_nationkey").alias("r_regionkey")), path)
+    files.write(t.region.select("r_regionkey"), path, mode="overwrite")
+    files.write(t.region.select("r_regionkey"), path, mode="append")
+    return files.read(t.spark, path).groupBy("r_regionkey").agg(F.count("*").alias("n"))
+
+
+@R.add("io_bucketed_join", "SELECT o_orderkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def bucketed_join(t):
+    """Two tables bucketed alike: their join shuffles neither."""
+    import uuid
+
+    names = [f"{n}_{uuid.uuid4().hex}" for n in ("orders", "lines")]
+    for name, table, key in zip(names, (t.orders.select("o_orderkey"), t.lineitem.select("l_orderkey")), ("o_orderkey", "l_orderkey"), strict=True):
+        files.write_bucketed(table, name, 8, [key], [key], path=_folder(t.spark))
+    orders, lines = map(t.spark.table, names)
+    return orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+
+
+@R.add("io_write_statistics", """
+SELECT 'o_orderkey' AS name, count(*) AS rows, 0::BIGINT AS nulls, min(o_orderkey)::VARCHAR AS least, max(o_orderkey)::VARCHAR AS greatest FROM orders
+UNION ALL SELECT 'status', count(*), count(*) FILTER (WHERE o_orderstatus = 'F'), min(nullif(o_orderstatus, 'F')), max(nullif(o_orderstatus, 'F')) FROM orders""")
+def write_statistics(t):
+    """What a table writer reports of a write: rows, and of each column the nulls and bounds, merged from all tasks."""
+    path = _folder(t.spark)
+    table = t.orders.select("o_orderkey", F.expr("nullif(o_orderstatus, 'F')").alias("status"))
+    written = files.write_with_statistics(table, path)
+    return written.columns.select("name", "rows", "nulls", "least", "greatest")
+
+
+@R.add("io_write_fragments", "SELECT count(*) AS n, true AS whole FROM orders")
+def write_fragments(t):
+    """The files that a write made, with their rows and sizes."""
+    path = _folder(t.spark)
+    written = files.write_with_statistics(t.orders, path)
+    return written.fragments.agg(F.sum("rows").cast("long").alias("n"), F.bool_and(F.col("bytes") > 0).alias("whole"))
+
+
+@R.add("trace_scan", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
+def trace_scan(t):
+    """An operator's input recorded, and the operator run on the replay."""
+    return relational.trace(t.orders.select("o_custkey"), _folder(t.spark)).groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
 @R.add("io_random_rows")
 def random_rows(t):
     return files.random_rows(t.spark, 100)
@@ -104,16 +166,39 @@ def merge_deletions(t):
     return merge.apply_deletions(table, gone)
 
 
+def _stream(t):
+    return events.read_events(t.spark, f"{t.sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @R.add("stream_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_counts(t):
-    rows = events.read_events(t.spark, f"{t.sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.run_once(events.windowed_counts(rows, "ts", "1 hour", "1 day", "event_type")).select("start", "event_type", "n")
+    return events.run_once(events.windowed_counts(_stream(t), "ts", "1 hour", "1 day", "event_type")).select("start", "event_type", "n")
+
+
+@R.add("stream_sliding_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) - unnest([INTERVAL 0 HOUR, INTERVAL 1 HOUR]) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_sliding(t):
+    return events.run_once(events.sliding_counts(_stream(t), "ts", "2 hours", "1 hour", "1 day", "event_type"))
+
+
+@R.add("stream_sessions", """
+SELECT min(ts) AS start, user_id, count(*) AS n FROM (
+    SELECT user_id, ts, sum(CASE WHEN ts - before <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s
+    FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, s""")
+def stream_sessions(t):
+    return events.run_once(events.sessions(_stream(t), "ts", "30 minutes", "1 day", "user_id"))
+
+
+@R.add("stream_stateful_totals", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY 1")
+def stream_totals(t):
+    """Every batch reports the keys that it touched: the last report of a key is the one with the greatest count."""
+    rows = events.run_once(events.running_totals(_stream(t), "user_id", "value"), "update")
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct("n", "total", "most"), "n").alias("r"))
+    return last.select("user_id", "r.n", F.round("r.total", 4).alias("total"), "r.most")
 
 
 @R.add("stream_deduplicated", "SELECT count(DISTINCT event_id) AS n FROM events")
 def stream_dedup(t):
-    rows = events.read_events(t.spark, f"{t.sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.run_once(events.deduplicated(rows, "ts", None, "event_id").select("event_id"), "append").agg(F.count("*").alias("n"))
+    return events.run_once(events.deduplicated(_stream(t), "ts", None, "event_id").select("event_id"), "append").agg(F.count("*").alias("n"))
 
 
 @R.add("fn_presto_composed", "SELECT n_nationkey AS id, string_split(n_name, '_')[2] AS part, round(0.5 + atan((n_nationkey - 3) / 2) / pi(), 9) AS cauchy, [n_nationkey, 1, 1][1:2] AS trimmed, strftime(TIMESTAMP '2024-02-29 01:02:03', '%Y/%m/%d') AS day, (n_name || 'x')[1:3] AS s3 FROM nation")

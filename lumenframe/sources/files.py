@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -46,12 +46,34 @@ def write(df: DataFrame, path: str, form: str = "parquet", mode: str = "errorife
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, by: list[str], sort_by: list[str] | None = None, mode: str = "overwrite") -> None:
+def write_bucketed(df: DataFrame, table: str, buckets: int, by: list[str], sort_by: list[str] | None = None, mode: str = "overwrite", path: str | None = None) -> None:
     """A bucketed table: later joins on its bucket columns need no shuffle."""
-    writer = df.write.mode(mode).bucketBy(buckets, *by)
+    # rows of one bucket in one task: a file for each bucket, not for each task and bucket
+    writer = df.repartition(buckets, *by).write.mode(mode).bucketBy(buckets, *by)
+    if path:
+        writer = writer.option("path", path)
     (writer.sortBy(*sort_by) if sort_by else writer).saveAsTable(table)
 
 
+class Written(NamedTuple):
+    """What a write reports: its files with rows and bytes, and each column's rows, nulls and bounds."""
+
+    fragments: DataFrame
+    columns: DataFrame
+
+
+def write_with_statistics(df: DataFrame, path: str, **options: Any) -> Written:
+    """Writes Parquet files and reports them. Column statistics are gathered by the writing tasks and merged, without another pass."""
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    seen = Observation()
+    each = [m for i, c in enumerate(plain) for m in (F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}"), F.min(f"`{c}`").cast("string").alias(f"l{i}"), F.max(f"`{c}`").cast("string").alias(f"g{i}"))]
+    write(df.observe(seen, F.count("*").alias("rows"), *each), path, **options)
+    got, spark = seen.get, df.sparkSession
+    rows = [(c, got["rows"], got[f"n{i}"], got[f"l{i}"], got[f"g{i}"]) for i, c in enumerate(plain)]
+    files = spark.read.schema(df.schema).parquet(path).groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+    return Written(files, spark.createDataFrame(rows, "name string, rows long, nulls long, least string, greatest string"))
+
+
 def from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
     return spark.createDataFrame(table)
 
