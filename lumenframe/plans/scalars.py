@@ -32,7 +32,7 @@ R.columns("fn_bitwise", NUMS, {
     "bitwise_and": "l_orderkey & 12", "bitwise_or": "l_orderkey | 12", "bitwise_xor": ("l_orderkey ^ 12", "xor(l_orderkey, 12)"), "bitwise_not": "~l_orderkey", "bit_count": ("bit_count(l_orderkey)", "bit_count(l_orderkey)::INTEGER"),
     "bit_get": ("CAST(bit_get(l_orderkey, 2) AS INT)", "((l_orderkey >> 2) & 1)::INTEGER"), "shiftleft": ("shiftleft(l_orderkey, 3)", "l_orderkey << 3"), "shiftright": ("shiftright(l_orderkey, 2)", "l_orderkey >> 2"),
     "shiftrightunsigned": ("shiftrightunsigned(l_orderkey, 2)", "l_orderkey >> 2"), "bin": ("bin(l_orderkey)", "bin(l_orderkey)"), "hex": ("hex(l_orderkey)", "to_hex(l_orderkey)"),
-    "from_base": ("CAST(conv('ff', 16, 10) AS BIGINT)", "255::BIGINT"), "to_base": ("lower(conv(CAST(l_orderkey AS STRING), 10, 16))", "lower(to_hex(l_orderkey))"),
+    "from_base": ("CAST(conv(hex(l_orderkey), 16, 10) AS BIGINT)", "l_orderkey"), "to_base": ("lower(conv(CAST(l_orderkey AS STRING), 10, 16))", "lower(to_hex(l_orderkey))"),
     "bit_days_count": ("aggregate(array(l_orderkey, 7L, CAST(NULL AS BIGINT)), 0, (s, x) -> s + bit_count(coalesce(x, 0L)))", "(bit_count(l_orderkey) + 3)::INTEGER"),
 }, "id")
 R.columns("fn_comparison", NUMS, {
@@ -52,15 +52,15 @@ R.columns("fn_string", STR, {
     "lower": "lower(s)", "upper": "upper(t)", "length": ("length(t)", "length(t)::INTEGER"), "reverse": "reverse(s)", "concat": "concat(s, '-', t)", "concat_ws": "concat_ws('|', s, t)", "trim": "trim(t)", "ltrim": "ltrim(t)", "rtrim": "rtrim(t)",
     "lpad": "lpad(s, 12, '*')", "rpad": "rpad(s, 4, '*')", "substring": "substring(s, 3, 4)", "left": "left(s, 3)", "right": "right(s, 3)", "repeat": "repeat(s, 2)", "replace": "replace(s, 'NATION', 'N')", "translate": "translate(s, 'NAT', 'nat')",
     "startswith": ("startswith(s, 'NATION_1')", "starts_with(s, 'NATION_1')"), "endswith": ("endswith(s, '1')", "ends_with(s, '1')"), "contains": "contains(s, 'ION_2')", "instr": ("instr(s, '_')", "instr(s, '_')::INTEGER"), "locate": ("locate('I', s)", "instr(s, 'I')::INTEGER"),
-    "ascii": ("ascii(s)", "ascii(s)::INTEGER"), "chr": "chr(65 + id)", "split_part": "split_part(t, ',', 2)", "substring_index": ("substring_index(t, ';', 1)", "split_part(t, ';', 1)"), "space": ("space(3)", "repeat(' ', 3)"),
+    "ascii": ("ascii(s)", "ascii(s)::INTEGER"), "chr": "chr(65 + id)", "split_part": "split_part(t, ',', 2)", "substring_index": ("substring_index(t, ';', 1)", "split_part(t, ';', 1)"), "space": ("space(id)", "repeat(' ', id)"),
     "levenshtein": ("levenshtein(s, 'NATION_11')", "levenshtein(s, 'NATION_11')::INTEGER"), "initcap": ("initcap(s)", "upper(s[1]) || lower(s[2:])"), "overlay": ("overlay(s PLACING 'xx' FROM 2 FOR 3)", "s[1:1] || 'xx' || s[5:]"),
-    "bit_length": ("bit_length(s)", "bit_length(s)::INTEGER"), "find_in_set": ("find_in_set('b', 'a,b,c')", "2"), "like": "s LIKE 'NATION_1%'", "empty2null": "nullif(trim(t), '')", "presto_strrpos": ("CASE WHEN instr(reverse(s), 'N') = 0 THEN 0 ELSE length(s) - instr(reverse(s), 'N') + 1 END", "(length(s) - instr(reverse(s), 'N') + 1)::INTEGER"),
-    "printf": ("printf('%s#%d', s, id)", "printf('%s#%d', s, id)"), "conv": ("conv('101', 2, 10)", "'5'"), "mask": ("mask(s)", "regexp_replace(regexp_replace(s, '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g')"), "soundex": ("soundex('Robert')", "'R163'"),
+    "bit_length": ("bit_length(s)", "bit_length(s)::INTEGER"), "find_in_set": ("find_in_set(s, 'NATION_3,NATION_1')", "CASE s WHEN 'NATION_3' THEN 1 WHEN 'NATION_1' THEN 2 ELSE 0 END"), "like": "s LIKE 'NATION_1%'", "empty2null": "nullif(trim(t), '')", "presto_strrpos": ("CASE WHEN instr(reverse(s), 'N') = 0 THEN 0 ELSE length(s) - instr(reverse(s), 'N') + 1 END", "(length(s) - instr(reverse(s), 'N') + 1)::INTEGER"),
+    "printf": ("printf('%s#%d', s, id)", "printf('%s#%d', s, id)"), "conv": ("conv(CAST(id AS STRING), 10, 2)", "bin(id)"), "mask": ("mask(s)", "regexp_replace(regexp_replace(s, '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g')"), "soundex": ("soundex(s)", "'N350'"),
 }, "id")
 R.columns("fn_string_split", STR, {
     "split": ("array_join(split(t, '[,;]'), '|')", "array_to_string(regexp_split_to_array(t, '[,;]'), '|')"), "presto_split": ("array_join(split(t, '\\\\Q,\\\\E'), '|')", "array_to_string(string_split(t, ','), '|')"),
-    "flink_split_index": ("get(split(t, '\\\\Q;\\\\E'), 1)", "string_split(t, ';')[2]"), "str_to_map": ("str_to_map('a:1,b:2', ',', ':')['b']", "'2'"), "presto_split_to_map": ("map_from_entries(transform(split('k=v|w=x', '[|]'), e -> struct(split_part(e, '=', 1) AS k, split_part(e, '=', 2) AS v)))['w']", "'x'"),
-    "string_to_long_array": ("filter(transform(split('1,x,3', ','), v -> try_cast(v AS BIGINT)), v -> v IS NOT NULL)", "[1::BIGINT, 3]"),
+    "flink_split_index": ("get(split(t, '\\\\Q;\\\\E'), 1)", "string_split(t, ';')[2]"), "str_to_map": ("str_to_map(concat('a:1,b:', id), ',', ':')['b']", "id::VARCHAR"), "presto_split_to_map": ("map_from_entries(transform(split(concat('k=v|w=', id), '[|]'), e -> struct(split_part(e, '=', 1) AS k, split_part(e, '=', 2) AS v)))['w']", "id::VARCHAR"),
+    "string_to_long_array": ("filter(transform(split(concat(id, ',x,3'), ','), v -> try_cast(v AS BIGINT)), v -> v IS NOT NULL)", "[id::BIGINT, 3]"),
 }, "id")
 R.columns("fn_regexp", STR, {
     "regexp_extract": ("regexp_extract(s, '([A-Z]+)_([0-9]+)', 2)", "regexp_extract(s, '([A-Z]+)_([0-9]+)', 2)"), "regexp_extract_all": ("array_join(regexp_extract_all(s, '[A-Z]', 0), '.')", "array_to_string(regexp_extract_all(s, '[A-Z]'), '.')"),
@@ -92,9 +92,9 @@ R.columns("fn_date_arithmetic", TS, {
 R.columns("fn_date_conversion", TS.replace("AS id, ts", "AS id, CAST(ts AS TIMESTAMP) AS ts"), {
     "unix_timestamp": ("unix_timestamp(ts)", "floor(epoch(ts))::BIGINT"), "unix_seconds": ("unix_seconds(ts)", "floor(epoch(ts))::BIGINT"), "unix_millis": ("unix_millis(ts)", "epoch_us(ts) // 1000"), "unix_micros": ("unix_micros(ts)", "epoch_us(ts)"), "to_unixtime": ("CAST(ts AS DOUBLE)", "epoch(ts)"),
     "from_unixtime": ("from_unixtime(unix_timestamp(ts), 'yyyy-MM-dd HH:mm:ss')", "strftime(ts, '%Y-%m-%d %H:%M:%S')"), "timestamp_seconds": ("timestamp_seconds(id)", "make_timestamp(id * 1000000)"), "timestamp_millis": ("timestamp_millis(id)", "make_timestamp(id * 1000)"), "timestamp_micros": ("timestamp_micros(id)", "make_timestamp(id)"),
-    "date_format": ("date_format(ts, 'yyyy/MM/dd HH')", "strftime(ts, '%Y/%m/%d %H')"), "to_date": ("to_date('2024-02-29')", "DATE '2024-02-29'"), "to_timestamp": ("to_timestamp('2024-02-29 01:02:03', 'yyyy-MM-dd HH:mm:ss')", "TIMESTAMP '2024-02-29 01:02:03'"), "make_timestamp": ("make_timestamp(2024, 2, 29, 1, 2, 3)", "TIMESTAMP '2024-02-29 01:02:03'"),
-    "pdate2date": ("date_format(to_date('20240229', 'yyyyMMdd'), 'yyyy-MM-dd')", "'2024-02-29'"), "date2pdate": ("date_format(d, 'yyyyMMdd')", "strftime(d, '%Y%m%d')"), "from_utc_timestamp": ("from_utc_timestamp(ts, '+02:00')", "ts + INTERVAL 2 HOUR"), "to_utc_timestamp": ("to_utc_timestamp(ts, '+02:00')", "ts - INTERVAL 2 HOUR"),
-    "to_iso8601": ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")", "strftime(ts, '%Y-%m-%dT%H:%M:%S')"), "parse_datetime": ("to_timestamp('29/02/2024', 'dd/MM/yyyy')", "TIMESTAMP '2024-02-29'"),
+    "date_format": ("date_format(ts, 'yyyy/MM/dd HH')", "strftime(ts, '%Y/%m/%d %H')"), "to_date": ("to_date(date_format(ts, 'yyyy-MM-dd'))", "ts::DATE"), "to_timestamp": ("to_timestamp(date_format(ts, 'dd.MM.yyyy HH:mm:ss'), 'dd.MM.yyyy HH:mm:ss')", "date_trunc('second', ts)::TIMESTAMP"), "make_timestamp": ("make_timestamp(year(ts), month(ts), day(ts), hour(ts), minute(ts), 3)", "date_trunc('minute', ts)::TIMESTAMP + INTERVAL 3 SECOND"),
+    "pdate2date": ("date_format(to_date(date_format(ts, 'yyyyMMdd'), 'yyyyMMdd'), 'yyyy-MM-dd')", "strftime(ts, '%Y-%m-%d')"), "date2pdate": ("date_format(d, 'yyyyMMdd')", "strftime(d, '%Y%m%d')"), "from_utc_timestamp": ("from_utc_timestamp(ts, '+02:00')", "ts + INTERVAL 2 HOUR"), "to_utc_timestamp": ("to_utc_timestamp(ts, '+02:00')", "ts - INTERVAL 2 HOUR"),
+    "to_iso8601": ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")", "strftime(ts, '%Y-%m-%dT%H:%M:%S')"), "parse_datetime": ("to_timestamp(date_format(ts, 'dd/MM/yyyy'), 'dd/MM/yyyy')", "date_trunc('day', ts)::TIMESTAMP"),
 }, "id")
 
 ARR = "(SELECT n_nationkey AS id, %s AS a, %s AS b FROM {nation})"
@@ -110,7 +110,7 @@ arrays("fn_array_basic", {
     "array_contains": ("array_contains(b, 2)", "list_contains(b, 2)"), "array_max": ("array_max(a)", "list_max(a)"), "array_min": ("array_min(a)", "list_min(a)"), "size": ("size(a)", "len(a)::INTEGER"), "get": ("get(b, 1)", "b[2]"), "element_at": ("try_element_at(b, 3)", "b[3]"), "array_position": ("array_position(b, 2)", "list_position(b, 2)::BIGINT"),
     "slice": (J("slice(a, 2, 2)"), K("a[2:3]")), "array_append": (J("array_append(b, 9)"), K("list_append(b, 9)")), "array_prepend": (J("array_prepend(b, 9)"), K("list_prepend(9, b)")), "array_insert": (J("array_insert(b, 2, 9)"), K("b[1:1] || [9] || b[2:]")), "concat": (J("concat(a, b)"), K("a || b")), "flatten": (J("flatten(array(a, b))"), K("flatten([a, b])")),
     "array_compact": (J("array_compact(a)"), K("list_filter(a, lambda v: v IS NOT NULL)")), "array_remove": (J("array_remove(b, 2)"), K("list_filter(b, lambda v: v <> 2)")), "array_repeat": (J("array_repeat(id, 2)"), K("[id, id]")), "array_sort": (J("array_sort(a)"), K("list_sort(a, 'ASC', 'NULLS LAST')")), "array_sort_desc": (J("sort_array(a, false)"), K("list_sort(a, 'DESC', 'NULLS LAST')")), "sort_array": (J("sort_array(a)"), K("list_sort(a, 'ASC', 'NULLS FIRST')")),
-    "array_join": ("array_join(b, '-')", "array_to_string(b, '-')"), "reverse": (J("reverse(b)"), K("list_reverse(b)")), "sequence": (J("sequence(1, 4)"), K("range(1, 5)")), "trim_array": (J("slice(b, 1, size(b) - 1)"), K("b[1:len(b) - 1]")), "arrays_zip": ("arrays_zip(b, a)[0].b", "b[1]"), "combinations_2": ("size(flatten(transform(sequence(0, 1), i -> transform(sequence(i + 1, 2), k -> array(b[i], b[k])))))", "3"),
+    "array_join": ("array_join(b, '-')", "array_to_string(b, '-')"), "reverse": (J("reverse(b)"), K("list_reverse(b)")), "sequence": (J("sequence(id, id + 3)"), K("range(id, id + 4)")), "trim_array": (J("slice(b, 1, size(b) - 1)"), K("b[1:len(b) - 1]")), "arrays_zip": ("arrays_zip(b, a)[0].b", "b[1]"), "combinations_2": ("concat_ws(',', transform(flatten(flatten(transform(sequence(0, 1), i -> transform(sequence(i + 1, 2), k -> array(b[i], b[k]))))), v -> CAST(v AS STRING)))", "array_to_string(list_transform([b[1], b[2], b[1], b[3], b[2], b[3]], lambda v: v::VARCHAR), ',')"),
 })
 SORTED = lambda x: J(f"array_sort({x})")
 LSORTED = lambda x: K(f"list_sort({x}, 'ASC', 'NULLS LAST')")
@@ -127,7 +127,7 @@ arrays("fn_array_lambda", {
 MAP = "(SELECT n_nationkey AS id, map('a', n_regionkey, 'b', n_nationkey) AS m FROM {nation})"
 MAP_D = "(SELECT n_nationkey AS id, n_regionkey AS a, n_nationkey AS b FROM {nation})"
 MAPS = {
-    "element_at": ("element_at(m, 'a')", "a"), "subscript": ("m['b']", "b"), "cardinality": ("size(m)", "2"), "map_keys": ("array_join(array_sort(map_keys(m)), ',')", "'a,b'"), "map_values": ("aggregate(map_values(m), 0, (s, x) -> s + x)", "a + b"), "map_entries": ("map_entries(m)[0].key", "'a'"), "map_filter": ("size(map_filter(m, (k, v) -> v > 2))", "(a > 2)::INTEGER + (b > 2)::INTEGER"),
+    "element_at": ("element_at(m, 'a')", "a"), "subscript": ("m['b']", "b"), "cardinality": ("size(m)", "2"), "map_keys": ("array_join(array_sort(map_keys(m)), ',')", "'a,b'"), "map_values": ("aggregate(map_values(m), 0, (s, x) -> s + x)", "a + b"), "map_entries": ("map_entries(m)[1].value", "b"), "map_filter": ("size(map_filter(m, (k, v) -> v > 2))", "(a > 2)::INTEGER + (b > 2)::INTEGER"),
     "transform_keys": ("transform_keys(m, (k, v) -> upper(k))['A']", "a"), "transform_values": ("transform_values(m, (k, v) -> v * 2)['b']", "b * 2"), "map_zip_with": ("map_zip_with(m, map('a', 10), (k, x, y) -> coalesce(x, 0) + coalesce(y, 0))['a']", "a + 10"), "map_concat": ("map_concat(m, map('c', 3))['c']", "3"), "map_from_entries": ("map_from_entries(array(struct('k', id)))['k']", "id"), "map_from_arrays": ("map_from_arrays(array('k'), array(id))['k']", "id"),
     "all_keys_match": ("forall(map_keys(m), k -> k < 'c')", "true"), "any_values_match": ("exists(map_values(m), v -> v > 20)", "a > 20 OR b > 20"), "no_values_match": ("NOT exists(map_values(m), v -> v > 20)", "NOT (a > 20 OR b > 20)"), "map_filter_keys": ("size(map_filter(m, (k, v) -> array_contains(array('a'), k)))", "1"), "map_subset": ("map_filter(m, (k, v) -> k = 'a')['a']", "a"), "map_update": ("map_from_entries(concat(filter(map_entries(m), e -> e.key <> 'a'), array(named_struct('key', 'a', 'value', 7))))['a']", "7"),
     "multimap_from_entries": ("size(aggregate(array(named_struct('k', 'x', 'v', 1), named_struct('k', 'x', 'v', 2)), CAST(array() AS ARRAY<INT>), (s, e) -> CASE WHEN e.k = 'x' THEN array_append(s, e.v) ELSE s END))", "2"), "cosine_similarity": ("round(aggregate(map_keys(m), 0.0D, (s, k) -> s + m[k] * m[k]) / nullif(aggregate(map_values(m), 0.0D, (s, v) -> s + v * v), 0.0D), 6)", "CASE WHEN a = 0 AND b = 0 THEN NULL ELSE 1.0::DOUBLE END"), "contains_key": ("map_contains_key(m, 'z')", "false"),
@@ -139,7 +139,7 @@ R.columns("fn_json", "(SELECT event_id AS id, props AS j, concat('[', event_id,
 }, "id")
 R.columns("fn_url", "(SELECT page_id AS id, url AS u FROM {pages})", {
     "url_extract_host": ("parse_url(u, 'HOST')", "regexp_extract(u, '^[a-z]+://([^/:?#]+)', 1)"), "url_extract_protocol": ("parse_url(u, 'PROTOCOL')", "regexp_extract(u, '^([a-z]+):', 1)"), "url_extract_path": ("parse_url(u, 'PATH')", "regexp_extract(u, '^[a-z]+://[^/?#]+([^?#]*)', 1)"), "url_extract_query": ("coalesce(parse_url(u, 'QUERY'), '')", "regexp_extract(u, '[?]([^#]*)', 1)"),
-    "url_encode": ("url_encode('a b&c')", "'a+b%26c'"), "url_decode": ("url_decode('a+b%26c')", "'a b&c'"), "url_extract_parameter": ("parse_url('http://h/p?x=1&y=2', 'QUERY', 'y')", "'2'"), "url_extract_fragment": ("parse_url('http://h/p#frag', 'REF')", "'frag'"), "url_extract_port": ("CAST(regexp_extract(parse_url('http://h:81/p', 'AUTHORITY'), ':([0-9]+)$', 1) AS BIGINT)", "81::BIGINT"),
+    "url_encode": ("url_encode(concat(id, ' b&c'))", "id || '+b%26c'"), "url_decode": ("url_decode(concat(id, '+b%26c'))", "id || ' b&c'"), "url_extract_parameter": ("parse_url(concat('http://h/p?x=1&y=', id), 'QUERY', 'y')", "id::VARCHAR"), "url_extract_fragment": ("parse_url(concat('http://h/p#f', id), 'REF')", "'f' || id"), "url_extract_port": ("CAST(regexp_extract(parse_url(concat('http://h:', id + 1, '/p'), 'AUTHORITY'), ':([0-9]+)$', 1) AS BIGINT)", "id + 1"),
 }, "id")
 R.columns("fn_probability", NUMS, {
     "cauchy_cdf": (r9("0.5 + atan((q - 20) / 5) / pi()"), r9("0.5 + atan((q - 20) / 5) / pi()")), "weibull_cdf": (r9("1 - exp(-pow(q / 20, 1.5))"), r9("1 - exp(-pow(q / 20, 1.5))")), "laplace_cdf": (r9("CASE WHEN q < 20 THEN 0.5 * exp((q - 20) / 5) ELSE 1 - 0.5 * exp((20 - q) / 5) END"), r9("CASE WHEN q < 20 THEN 0.5 * exp((q - 20) / 5) ELSE 1 - 0.5 * exp((20 - q) / 5) END")),
