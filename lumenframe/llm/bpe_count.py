@@ -8,7 +8,10 @@ number of symbols less the number of merges; no ids are made.
 Text is cut into the tokenizer's pretokens, and counts of pieces are remembered
 in a bounded cache for each Python worker. A special string inside a text is one
 token, as the library has it. Null and empty texts have no tokens. Rows with
-null or repeated ids are counted like any other; an empty table gives no rows.
+null or repeated ids are counted like any other, each row by itself; an empty table
+gives no rows. A very long text is held alone; a single word of n bytes takes
+n log n steps. Pairs of equal rank are merged from the left, as the library does.
+Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents, id_and_text
-from .tokens import CACHE_PIECES, pieces, vocabulary_path
+from .tokens import CACHE_BYTES, ENTRY_BYTES, for_a_task, pieces, vocabulary_path
 
 
 def count_merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -63,20 +66,26 @@ class TokenCounter:
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): r for r, m in enumerate(merges)}
         self.tokenizer = Tokenizer.from_file(path)
         self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.forget()
+
+    def forget(self) -> None:
+        #: tokens of pieces and of pretokens, and the bytes that they take, about
         self.known: dict[str, int] = {}
         self.words: dict[str, int] = {}
+        self.bytes = 0
 
     def _pretokens(self, text: str) -> int:
         words, ranks, total = self.words, self.ranks, 0
         for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
             if (n := words.get(word)) is None:
-                if len(words) > CACHE_PIECES:
-                    words.clear()
+                self.bytes += len(word) + ENTRY_BYTES
                 n = words[word] = count_merged(word, ranks)
             total += n
         return total
 
     def count(self, text: str) -> int:
+        if self.bytes > 2 * CACHE_BYTES:
+            self.forget()
         for special in self.special:
             if special in text:
                 apart = text.split(special)
@@ -87,11 +96,10 @@ class TokenCounter:
         if parts is None:
             return self._pretokens(text)
         known = self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
         total = self._pretokens(parts[0])
         del parts[0]
         for p in set(parts).difference(known):
+            self.bytes += len(p) + ENTRY_BYTES
             known[p] = self._pretokens(p if p[0] == "\n" else f" {p}")
         return total + sum(map(known.__getitem__, parts))
 
@@ -105,14 +113,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     """doc_id, n_bytes, n_tokens, over_limit for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = token_counter(vocabulary)
-        for batch in batches:
-            sizes, counts = [], []
-            for x in batch.column("text"):
-                text = x.as_py() or ""
-                sizes.append(len(text) if text.isascii() else len(text.encode()))
-                counts.append(counter.count(text))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        with for_a_task(token_counter(vocabulary)) as counter:
+            for batch in batches:
+                sizes, counts = [], []
+                for x in batch.column("text"):
+                    text = x.as_py() or ""
+                    sizes.append(len(text) if text.isascii() else len(text.encode()))
+                    counts.append(counter.count(text))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

@@ -9,7 +9,10 @@ what stands before, and an edit needs new entries only up to the place where a
 longest token's length of entries agrees with the old ones.
 
 Null and empty texts have no ids. Rows with null or repeated ids are treated
-like any other; an empty table gives no rows.
+like any other, each row by itself; an empty table gives no rows. A very long text
+is held alone, and a single word takes time linear in its length. Only one token
+of a prefix is valid, so there are no ties. Only doc_id and text are read, whatever
+other columns there are.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents, id_and_text
-from .tokens import CACHE_PIECES, in_groups, pieces, vocabulary_path
+from .tokens import CACHE_BYTES, ENTRY_BYTES, for_a_task, in_groups, pieces, vocabulary_path
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -66,7 +69,7 @@ class PrefixBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _valid(self, last: int, token: int) -> bool:
-        if len(self.follows) > 2 * CACHE_PIECES:
+        if len(self.follows) * ENTRY_BYTES > CACHE_BYTES:
             self.follows.clear()
         alone = last < 0
         ok = self._merged((b"" if alone else self.bytes_of[last]) + self.bytes_of[token]) == ([token] if alone else [last, token])
@@ -160,11 +163,15 @@ class TextEncoder:
 
         self.bpe = PrefixBPE(load_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.forget()
         #: how each id is written
         self.decimal = {i: str(i) for i in self.bpe.bytes_of}
 
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.bytes = 0
+
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; the pieces that are new are encoded together, in order."""
         collecting = gc.isenabled()
@@ -176,9 +183,9 @@ class TextEncoder:
                 gc.enable()
 
     def _encode_many(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > CACHE_PIECES:
+        if self.bytes > CACHE_BYTES:
             # what is still in use comes back from the generation before without being encoded again
-            self.before, self.known = self.known, {}
+            self.before, self.known, self.bytes = self.known, {}, 0
         known, before, findall, cut = self.known, self.before, self.pattern.findall, []
         new: dict[str, list[str]] = {}
         for text in texts:
@@ -197,6 +204,7 @@ class TextEncoder:
                     new[p] = findall(p[1:] if p[0] == "\x00" else p if p[0] == "\n" else f" {p}")
             cut.append(parts)
         if new:
+            self.bytes += 3 * sum(map(len, new)) + ENTRY_BYTES * len(new)
             apart = self.bpe.encode_sorted({m for found in new.values() for m in found})
             known.update((p, b"".join([apart[m] for m in found])) for p, found in new.items())
         out = []
@@ -223,19 +231,19 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = Fal
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(ranks, pattern)
-        for batch in batches:
-            n, coded, decoded, kept = [], [], [], []
-            for group in in_groups((x.as_py() or "" for x in batch.column("text")), len, 1_500_000):
-                for ids in encoder.encode_many(group):
-                    n.append(len(ids))
-                    coded.append(hashlib.sha256(encoder.written(ids).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(encoder.bpe.decode(ids)).hexdigest())
-                    if keep_ids:
-                        kept.append(ids)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, names=names + ["ids"] * keep_ids)
+        with for_a_task(text_encoder(ranks, pattern)) as encoder:
+            for batch in batches:
+                n, coded, decoded, kept = [], [], [], []
+                for group in in_groups((x.as_py() or "" for x in batch.column("text")), len, 1_500_000):
+                    for ids in encoder.encode_many(group):
+                        n.append(len(ids))
+                        coded.append(hashlib.sha256(encoder.written(ids).encode()).hexdigest())
+                        decoded.append(hashlib.sha256(encoder.bpe.decode(ids)).hexdigest())
+                        if keep_ids:
+                            kept.append(ids)
+                columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, names=names + ["ids"] * keep_ids)
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 

@@ -14,8 +14,10 @@ the partition's number in their upper half. Items are ordered by length, id and
 start, so a repeated task gives the same rows.
 
 Null and empty texts are one end id. Rows with a null or repeated doc_id are
-packed as documents of their own. An empty table gives no rows. A document's
-token count must be below 2**31.
+packed as documents of their own. An empty table gives no rows. A very long text is
+held alone while it is cut into full windows. Of windows with equal room the one
+opened or filled last is taken. A document's token count must be below 2**31. Only
+doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import crc32_of, documents, id_and_text
-from .tokens import in_groups, piece_encoder, vocabulary_path
+from .tokens import for_a_task, in_groups, piece_encoder, vocabulary_path
 
 WINDOW = 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -92,24 +94,24 @@ def pack(docs: DataFrame, vocabulary: str, size: int = WINDOW, end_id: int = 0)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(vocabulary)
         first = TaskContext.get().partitionId() << 32
         opened, items = 0, []
-        for batch in batches:
-            rows = ((i.as_py(), t.as_py() or "") for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True))
-            for group in in_groups(rows, lambda r: len(r[1]), 1_000_000):
-                full = []
-                for (doc, _), ids in zip(group, encoder.encode_many([t for _, t in group]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n - n % size, size):
-                        full.append((doc, start, size, crc32_of(ids[4 * start : 4 * (start + size)]), n, first + opened, 0))
-                        opened += 1
-                    if n % size:
-                        start = n - n % size
-                        items.append((-(n % size), doc is not None, doc or 0, start, crc32_of(ids[4 * start :]), n))
-                if full:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*full, strict=True)], schema=_ARROW)
+        with for_a_task(piece_encoder(vocabulary)) as encoder:
+            for batch in batches:
+                rows = ((i.as_py(), t.as_py() or "") for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True))
+                for group in in_groups(rows, lambda r: len(r[1]), 1_000_000):
+                    full = []
+                    for (doc, _), ids in zip(group, encoder.encode_many([t for _, t in group]), strict=True):
+                        ids += end
+                        n = len(ids) // 4
+                        for start in range(0, n - n % size, size):
+                            full.append((doc, start, size, crc32_of(ids[4 * start : 4 * (start + size)]), n, first + opened, 0))
+                            opened += 1
+                        if n % size:
+                            start = n - n % size
+                            items.append((-(n % size), doc is not None, doc or 0, start, crc32_of(ids[4 * start :]), n))
+                    if full:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*full, strict=True)], schema=_ARROW)
         items.sort()
         windows, offsets, _ = best_fit_decreasing([-x[0] for x in items], size)
         for i in range(0, len(items), 50_000):

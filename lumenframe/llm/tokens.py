@@ -14,12 +14,16 @@ from __future__ import annotations
 import gc
 import os
 from array import array
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces in one of the two generations that a Python worker remembers: about 100 MB.
-CACHE_PIECES = 450_000
+#: Bytes, about, in each of the two generations of pieces that a Python worker remembers while a task lasts.
+CACHE_BYTES = 48_000_000
+#: Bytes that an entry takes besides its text and ids, about.
+ENTRY_BYTES = 180
 #: Texts given to the library in one call.
 CALL_TEXTS = 4096
 #: Pieces joined into one text.
@@ -62,6 +66,7 @@ class PieceEncoder:
         self.whole = (*(x.content for x in self.tokenizer.get_added_tokens_decoder().values()), "\x00")
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.bytes = 0
         self.stops = dict(zip(STOPS, self._library(list(STOPS)), strict=True))
         #: whether a token starts with a space or line break, by id
         self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
@@ -104,9 +109,9 @@ class PieceEncoder:
 
     def _encode_many(self, texts: list[str]) -> list[bytes]:
         known, new, heads, cut = self.known, set(), set(), []
-        if len(known) > CACHE_PIECES:
+        if self.bytes > CACHE_BYTES:
             # what is still in use comes back from the generation before without being encoded again
-            self.before, self.known = known, {}
+            self.before, self.known, self.bytes = known, {}, 0
             known = self.known
         for text in texts:
             parts = pieces(text, self.whole) if text else []
@@ -118,6 +123,7 @@ class PieceEncoder:
                 new |= set(parts).difference(known)
             cut.append(parts)
         if new:
+            self.bytes += 3 * sum(map(len, new)) + ENTRY_BYTES * len(new)
             before = self.before
             if before:
                 again = [p for p in new if p in before]
@@ -139,6 +145,19 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
+    def forget(self) -> None:
+        self.known, self.before, self.bytes = {}, {}, 0
+
+
+@contextmanager
+def for_a_task(cache):
+    """Has the cache forget its pieces when the task ends: an idle worker keeps no memory from the stages that need it."""
+    try:
+        yield cache
+    finally:
+        cache.forget()
+        pa.default_memory_pool().release_unused()
+
 
 def in_groups(items, size_of, limit: int = 4_000_000):
     """Lists of items whose sizes add up to about limit at most."""
