@@ -14,7 +14,10 @@ whatever the table's size; every document is scored. Scores see the text only.
 
 Null and empty texts are scored as texts of no words. Rows with null or repeated
 ids are scored like any other; a null id is not held out. Without labels of both
-classes every score is 0.7. An empty table gives no rows.
+classes every score is 0.7. An empty table gives no rows. A very long text is held
+alone, with its words. Repeated rows of an id count once in fitting, by their
+greatest features; equal texts get equal scores, and a score equal to the
+threshold is good. Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
