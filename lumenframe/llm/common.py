@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +65,10 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_table(spark: SparkSession, table: DataFrame) -> None:
-    """Deletes the files of a materialised table that nothing reads any more."""
-    for file in table.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+    """Deletes the files that a plan over materialised tables reads, once nothing reads them any more."""
+    paths = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -76,16 +77,6 @@ def crc32_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
-def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
-    """Texts of a batch one by one, so that only one is held as a Python string; null counts as empty."""
-    for x in batch.column(column):
-        yield x.as_py() or ""
-
-
 def blobs(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     """UTF-8 bytes of each text, without decoding; null counts as empty."""
     for x in batch.column(column).cast(pa.binary()):

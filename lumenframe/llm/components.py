@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised
+from .common import drop_table, materialised
 
 
 def _step(edges: DataFrame, name: str, large: bool) -> DataFrame:
-    """edges (u, v) with u > v. Large star: larger neighbours go to the least one. Small star: smaller ones do."""
+    """edges (u, v) with u > v. Large star: larger neighbours go to the least one. Small star: smaller ones do. The files of edges go."""
     seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = materialised(seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least")
     met = seen.join(least, "u")
@@ -24,7 +24,10 @@ def _step(edges: DataFrame, name: str, large: bool) -> DataFrame:
         out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-    return materialised(out.filter("u > v").distinct(), name)
+    out = materialised(out.filter("u > v").distinct(), name)
+    for done in (least, edges):
+        drop_table(edges.sparkSession, done)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -262,7 +262,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         spans = materialised(found.filter(F.col("level") == level).drop("level").unionByName(above), f"spans-{level}")
     met = pieces.select("digest", "doc_id", "at", "n").join(spans, "digest").withColumn("spans", F.filter("spans", lambda s: s["least"] < F.col("doc_id")))
     met = met.filter(F.size("spans") > 0).select("doc_id", F.struct("at", "n", "digest", F.transform("spans", lambda s: F.struct(s["shift"].alias("shift"), s["n"].alias("n"))).alias("spans")).alias("p"))
-    return materialised(met.groupBy("doc_id").agg(F.collect_list("p").alias("passages")), "repeated")
+    out = materialised(met.groupBy("doc_id").agg(F.collect_list("p").alias("passages")), "repeated")
+    for t in (pieces, passages, found, *parts):
+        drop_table(spark, t)
+    return out
 
 
 def keep_mask(words: list[bytes], passages) -> np.ndarray:

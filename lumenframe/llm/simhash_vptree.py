@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, documents, id_and_text, materialised
+from .common import blobs, documents, drop_table, id_and_text, materialised
 from .components import components
 
 LINK = 3
@@ -235,7 +235,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = materialised(components(links(distinct)), "components")
     rooted = materialised(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = materialised(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    return rows, materialised(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    found = materialised(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    for done in (distinct, roots, rooted, least):
+        drop_table(docs.sparkSession, done)
+    return rows, found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
