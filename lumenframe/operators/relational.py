@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes below which lookup_join broadcasts its table.
 LOOKUP_BYTES = 64 << 20
@@ -65,18 +67,37 @@ def lookup_join(probe: DataFrame, table: DataFrame, on: Column, how: str = "inne
     return probe.join(F.broadcast(table) if _plan_bytes(table) <= LOOKUP_BYTES else table, on, how)
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], order: str, values: list[str], span: float | None = None) -> DataFrame:
     """left with the values of the last right row of the same keys at or before it.
 
     Both sides are stacked and carried forward in one window: one shuffle by the
     keys, and memory for one row, where a range join would emit all earlier pairs.
+    With a span (in the order's units, seconds for times), rows of one key are dealt
+    over stretches of that length, each carried forward by itself; what a stretch
+    starts with comes from the last values of those before it. So a key that holds
+    a large part of the rows, or no key at all, is many tasks.
     """
     carried = F.struct(*values)
     rows = left.select(*keys, order, F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(carried.alias("s")).schema["s"].dataType).alias("_value"))
     rows = rows.unionByName(right.select(*keys, order, F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), carried.alias("_value")))
-    w = Window.partitionBy(*keys).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.withColumn("_value", F.last("_value", ignorenulls=True).over(w)).filter("_side = 1")
-    return seen.select("_row.*", *(F.col(f"_value.{v}").alias(v) for v in values))
+    out = lambda seen: seen.filter("_side = 1").select("_row.*", *(F.col(f"_value.{v}").alias(v) for v in values))
+    if span is None:
+        w = Window.partitionBy(*keys).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return out(rows.withColumn("_value", F.last("_value", ignorenulls=True).over(w)))
+    kind = dict(rows.dtypes)[order]
+    at = F.col(order).cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col(order).cast("double")
+    rows = rows.withColumn("_part", F.floor(at / span))
+    w = Window.partitionBy(*keys, "_part").orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.withColumn("_here", F.last("_value", ignorenulls=True).over(w))
+    # one row for each key and stretch
+    last = rows.groupBy(*keys, "_part").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_k{i}" for i in range(len(keys))]
+    start = last.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("_part").alias("_of"), F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    same = F.col("_part") == F.col("_of")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return out(within.filter("_side = 1").join(start, same, "left").withColumn("_value", F.coalesce("_here", "_before")))
 
 
 def range_join(points: DataFrame, spans: DataFrame, x: str, lo: str, hi: str, width: float) -> DataFrame:
@@ -136,6 +157,30 @@ def assign_unique_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def with_sorted_aggregation(spark):
+    """A session whose aggregations stream over input that is sorted by their keys, instead of hashing it."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
+    return other
+
+
+def model_operator(df: DataFrame, load: Callable[[], Callable], inputs: list[str], output: str, kind: str = "double") -> DataFrame:
+    """df with what a model makes of its columns, a batch at a time.
+
+    load is called once in each task and returns a function from arrays (NumPy) to
+    one array: a module of any library that the workers have, or an ONNX session.
+    """
+    taken = df.columns
+
+    def run(batches):
+        model = load()
+        for b in batches:
+            made = model(*(b.column(c).to_numpy(zero_copy_only=False) for c in inputs))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in taken), pa.array(made)], names=[*taken, output])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(output, DataType.fromDDL(kind))]))
+
+
 def trace(df: DataFrame, path: str) -> DataFrame:
     """Records the rows that an operator reads: df itself, from the written copy."""
     df.write.mode("overwrite").parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.dialects import function
 from lumenframe.operators import aggregates as agg
+from lumenframe.operators.companions import companion
 
 from .registry import Registry
 
@@ -173,8 +174,19 @@ def weighted_sample(t):
 R.sql("agg_array_addition", "SELECT pos, sum(x) AS s FROM (SELECT posexplode(array(n_regionkey, n_nationkey)) AS (pos, x) FROM {nation}) GROUP BY pos", "SELECT pos, sum(x)::BIGINT AS s FROM (SELECT unnest([0, 1]) AS pos, unnest([n_regionkey, n_nationkey]) AS x FROM nation) GROUP BY pos")
 R.sql("agg_array_count", "SELECT pos, count(x) AS c FROM (SELECT posexplode(array(nullif(n_regionkey, 1), n_nationkey)) AS (pos, x) FROM {nation}) GROUP BY pos", "SELECT pos, count(x) AS c FROM (SELECT unnest([0, 1]) AS pos, unnest([nullif(n_regionkey, 1), n_nationkey]) AS x FROM nation) GROUP BY pos")
 grouped("agg_decimal", "(SELECT o_orderstatus, CAST(o_totalprice AS DECIMAL(12, 2)) AS p FROM {orders})", "o_orderstatus", {"total": ("CAST(sum(p) AS DECIMAL(20, 2))", "sum(p)::DECIMAL(20, 2)"), "most": "max(p)"})
-# two-level aggregation, as companion functions have it: partial states merged
-R.sql("agg_companion_merge", "SELECT l_returnflag, round(sum(s) / sum(c), 6) AS avg FROM (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS s, count(l_quantity) AS c FROM {lineitem} GROUP BY 1, 2) GROUP BY l_returnflag", "SELECT l_returnflag, round(avg(l_quantity), 6) AS avg FROM lineitem GROUP BY 1")
+STEPS = ("sum", "min", "max", "count", "avg", "var_pop", "var_samp", "stddev_pop", "stddev_samp")
+
+
+@R.add("agg_companion_steps", "SELECT l_returnflag, " + ", ".join(f"round({k}(l_quantity), 6)::DOUBLE AS {k}" for k in STEPS) + ", true AS distinct_near FROM lineitem GROUP BY 1")
+def companions(t):
+    """Partial states by two keys, merged by one, and results taken out of them."""
+    states = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(*(companion(f"{k}_partial")(F.col("l_quantity")).alias(k) for k in STEPS), companion("approx_distinct_partial")(F.col("l_partkey")).alias("d"))
+    merged = states.groupBy("l_returnflag").agg(*(companion(f"{k}_merge")(F.col(k)).alias(k) for k in STEPS), companion("approx_distinct_merge")(F.col("d")).alias("d"))
+    near = t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"))
+    results = merged.select("l_returnflag", *(F.round(companion(f"{k}_extract")(F.col(k)), 6).cast("double").alias(k) for k in STEPS), companion("approx_distinct_extract")(F.col("d")).alias("d"))
+    return results.join(near, "l_returnflag").select("l_returnflag", *STEPS, (F.abs(F.col("d") / F.col("exact") - 1) < 0.05).alias("distinct_near"))
+
+
 # sketches: estimates within their error, so the oracle checks that and not the value
 grouped("agg_sketches", "{lineitem}", "l_returnflag", {
     "approx_distinct_ok": ("abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey)", "true"), "hll_ok": ("abs(hll_sketch_estimate(hll_sketch_agg(l_partkey, 14)) - count(DISTINCT l_partkey)) <= 0.05 * count(DISTINCT l_partkey)", "true"), "theta_ok": ("abs(theta_sketch_estimate(theta_sketch_agg(l_partkey)) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey)", "true"),

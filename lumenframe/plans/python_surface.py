@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators import relational
+
 from .registry import Registry
 
 R = Registry()
@@ -83,3 +85,16 @@ def _consumed(rows):
 @R.add("callback_sink", "SELECT count(*) AS n FROM orders")
 def callback(t):
     return _consumed(t.orders)
+
+
+@R.add("model_operator", "SELECT o_orderkey, round(1 / (1 + exp(-(o_totalprice / 100000 - 1))), 6) AS score FROM orders")
+def model(t):
+    """A model loaded once in each task and run on batches."""
+
+    def load():
+        import numpy as np
+
+        weight, bias = np.array(1e-5), np.array(-1.0)
+        return lambda price: 1 / (1 + np.exp(-(price * weight + bias)))
+
+    return relational.model_operator(t.orders.select("o_orderkey", "o_totalprice"), load, ["o_totalprice"], "score").select("o_orderkey", F.round("score", 6).alias("score"))

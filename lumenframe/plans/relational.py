@@ -71,6 +71,13 @@ def join_asof(t):
     return op.asof_join(left, right, ["user_id"], "ts", ["before_ts"]).select("event_id", "before_ts")
 
 
+@R.add("join_asof_one_key", "SELECT event_id, last_value(CASE WHEN event_type <> 'click' THEN ts END IGNORE NULLS) OVER (ORDER BY ts, event_type = 'click' ROWS UNBOUNDED PRECEDING) AS before_ts FROM events QUALIFY event_type = 'click'")
+def join_asof_one_key(t):
+    """Without a key: stretches of a day are tasks of their own."""
+    left, right = t.events.filter("event_type = 'click'").select("ts", "event_id"), t.events.filter("event_type <> 'click'").select("ts", F.col("ts").alias("before_ts"))
+    return op.asof_join(left, right, [], "ts", ["before_ts"], span=86_400.0).select("event_id", "before_ts")
+
+
 @R.add("join_range", "SELECT p_partkey, count(*) AS n FROM part JOIN lineitem ON l_quantity >= p_size - 1 AND l_quantity < p_size + 1 GROUP BY p_partkey")
 def join_range(t):
     """Equal points meet the spans once, with their number."""
@@ -85,7 +92,16 @@ R.sql("agg_global", "SELECT count(*) AS n, sum(CAST(l_linenumber AS BIGINT)) AS
 R.sql("agg_filter_mask", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS big, round(sum(l_tax) FILTER (WHERE l_discount > 0.05), 4) AS tax FROM {lineitem} GROUP BY l_returnflag")
 R.sql("agg_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities FROM {orders} GROUP BY o_orderstatus")
 R.sql("agg_ordered", "SELECT n_regionkey, concat_ws(',', transform(array_sort(collect_list(struct(n_name))), x -> x.n_name)) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey")
-R.sql("agg_streaming_sorted", "SELECT l_orderkey, count(*) AS n FROM (SELECT * FROM {lineitem} ORDER BY l_orderkey) GROUP BY l_orderkey")
+
+
+@R.add("agg_streaming_sorted", "SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1")
+def agg_streaming_sorted(t):
+    """Input sorted by the keys: groups are streamed, with the memory of one."""
+    rows = op.with_sorted_aggregation(t.spark).read.parquet(f"{t.sf_dir}/lineitem.parquet")
+    rows = rows.repartition("l_orderkey").sortWithinPartitions("l_orderkey")
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+
+
 R.sql("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 R.sql("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 R.sql("agg_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")

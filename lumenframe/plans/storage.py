@@ -157,6 +157,20 @@ def merge_aggregation(t):
     return merge.aggregation(_versions(t), ["l_orderkey"], "seq", {"part": "sum", "supp": "min"})
 
 
+@R.add("merge_field_aggregates", f"""
+SELECT l_orderkey, max(seq) AS seq, count(part) AS a, max(supp) AS b, bool_and(supp > 5) AS c, bool_or(supp > 5) AS d, round(product(seq), 4) AS e, arg_min(supp, seq) AS f, arg_max(supp, seq) AS g,
+       arg_min(part, seq) AS h, arg_max(part, seq) AS i, string_agg(supp::VARCHAR, ',' ORDER BY seq) AS j, array_to_string(list(part ORDER BY seq) FILTER (WHERE part IS NOT NULL), ',') AS k
+FROM (SELECT l_orderkey, l_linenumber AS seq, min(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END) AS part, min(l_suppkey) AS supp FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def merge_fields(t):
+    """Every field aggregate, over one version for each key and sequence number."""
+    rows = t.lineitem.groupBy("l_orderkey", F.col("l_linenumber").alias("seq")).agg(F.min(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey"))).alias("part"), F.min("l_suppkey").alias("supp"))
+    part, supp = F.col("part"), F.col("supp")
+    rows = rows.select("l_orderkey", "seq", part.alias("a"), supp.alias("b"), (supp > 5).alias("c"), (supp > 5).alias("d"), F.col("seq").alias("e"), supp.alias("f"), supp.alias("g"), part.alias("h"), part.alias("i"), supp.cast("string").alias("j"), part.alias("k"))
+    how = {"a": "count", "b": "max", "c": "bool_and", "d": "bool_or", "e": "product", "f": "first_value", "g": "last_value", "h": "first_non_null_value", "i": "last_non_null_value", "j": "listagg", "k": "collect"}
+    out = merge.aggregation(rows, ["l_orderkey"], "seq", how)
+    return out.withColumn("e", F.round("e", 4)).withColumn("k", F.when(F.size("k") > 0, F.concat_ws(",", F.col("k").cast("array<string>"))))
+
+
 @R.add("merge_deletion_vectors", "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0")
 def merge_deletions(t):
     path = _folder(t.spark)

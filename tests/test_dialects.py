@@ -89,3 +89,25 @@ def test_not_in_and_column_frames(spark):
     rows = spark.createDataFrame([(None, 1, 10, 0), (None, 2, 20, 1), ("k", 1, 1, 5), ("k", 2, 2, 0), ("k", 3, 4, 1)], "g string, o int, v int, back int")
     got = {(r.g, r.o): r.s for r in op.sum_since(rows, ["g"], "o", "v", F.col("back"), "s").collect()}
     assert got == {(None, 1): 10, (None, 2): 30, ("k", 1): 1, ("k", 2): 2, ("k", 3): 6}
+
+
+def test_sorted_input_is_streamed(spark, tmp_path):
+    from lumenframe import plans
+
+    spark.range(100).selectExpr("id % 7 AS l_orderkey", "CAST(id AS DOUBLE) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = plans.QUERIES["agg_streaming_sorted"](spark, str(tmp_path))
+    assert df.count() == 7
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan
+
+
+def test_asof_in_stretches_gives_what_one_window_gives(spark):
+    import random
+
+    rnd = random.Random(4)
+    left = spark.createDataFrame([(rnd.choice([1, 2, None]), float(rnd.randrange(300)), i) for i in range(120)], "k int, t double, i int")
+    right = spark.createDataFrame([(rnd.choice([1, 2, None]), float(x), f"v{x}") for x in rnd.sample(range(300), 60)], "k int, t double, v string")
+    for keys in (["k"], []):
+        l, r = (left, right) if keys else (left.drop("k"), right.drop("k"))
+        whole = sorted(map(tuple, op.asof_join(l, r, keys, "t", ["v"]).collect()), key=str)
+        assert sorted(map(tuple, op.asof_join(l, r, keys, "t", ["v"], span=25.0).collect()), key=str) == whole
