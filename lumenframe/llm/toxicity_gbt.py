@@ -9,11 +9,18 @@ histograms; a third of the training rows, left out of the trees, gives the
 isotonic map from the trees' sum to a probability.
 
 Fitting uses at most ``FIT_TOXIC`` and ``FIT_CLEAN`` labelled ids and
-``LEXICON`` entries, whatever the table's size; every document is scored whole.
+``LEXICON`` entries of the greatest lift times contexts, whatever the table's
+size; every document is scored whole. ``LEXICON`` bounds the model, as the number
+of trees does: 157 entries reach the lift with 352 labelled toxic texts, 395 with
+1,735, so that none is cut.
 
 Null and empty texts are scored as texts of no words. Rows with null or repeated
 ids are scored like any other; a null id is not held out. Without labels of both
-classes every score is 0. An empty table gives no rows.
+classes every score is 0. An empty table gives no rows. A very long text is held
+alone, with its words. Of entries with equal lift the alphabetically first are
+taken, of splits with equal gain the first feature and bin; equal scores stay
+equal. Repeated rows of an id count once in fitting, by their greatest features.
+Other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -227,7 +234,8 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple | None:
     """(lexicon, trees, isotonic points), or None without labels of both classes."""
-    sample = labelled_sample(docs, labels, "toxic", 5, 0, max(FIT_CLEAN, FIT_TOXIC))
+    # written once: it is read three times
+    sample = materialised(labelled_sample(docs, labels, "toxic", 5, 0, max(FIT_CLEAN, FIT_TOXIC)), "sample")
     lexicon = learn_lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
