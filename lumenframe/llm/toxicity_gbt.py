@@ -170,14 +170,12 @@ class BoostedTrees:
 
 def isotonic(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps of the best ascending fit of y to f (pool adjacent violators), as points to interpolate between."""
-    order = np.argsort(f, kind="stable")
+    # equal sums are one point before any are pooled with their neighbours
+    values, place, weights = np.unique(f, return_inverse=True, return_counts=True)
+    means = np.bincount(place, y, len(values)) / weights
     blocks: list[list[float]] = []  # mean, weight, first f, last f
-    for v, t in zip(f[order].tolist(), y[order].tolist(), strict=True):
-        if blocks and blocks[-1][3] == v:
-            last = blocks[-1]
-            last[0], last[1] = (last[0] * last[1] + t) / (last[1] + 1), last[1] + 1
-        else:
-            blocks.append([t, 1, v, v])
+    for v, t, n in zip(values.tolist(), means.tolist(), weights.tolist(), strict=True):
+        blocks.append([t, n, v, v])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             mean, weight, _, end = blocks.pop()
             last = blocks[-1]
