@@ -13,12 +13,13 @@ windows meet:
 2. Consecutive windows of one key are a passage, at most ``PIECE`` windows. Equal
    passages are first made one row with their least and greatest document, again
    with partial aggregation: copies cost nothing further on.
-3. A key with more than ``HOT`` different passages (near copies by the thousand,
-   or the text around a passage that everyone quotes) is cut anew by a longer run
-   of words, last by the whole window, of which all copies are equal. So no group
-   grows with the number of copies, and none is compared pair by pair.
-4. Shards take whole keys, about ``SHARD_WORDS`` words each. Hashes only choose
-   where windows meet; that they are equal is decided on their words.
+3. A key whose different passages are more than a shard holds, ``SHARD_WORDS``
+   words (near copies by the ten thousand, or the text around a passage that
+   everyone quotes), is cut anew by a longer run of words, last by the whole
+   window, of which all copies are equal. So no group grows with the number of
+   copies, and none is compared pair by pair.
+4. Shards take whole keys, about as many words each. Hashes only choose where
+   windows meet; that they are equal is decided on their words.
 
 Results go back from passages to documents by a 128-bit digest of the words.
 
@@ -46,8 +47,8 @@ from .fm_index import FMIndex
 WINDOW = 50
 #: Words in the runs that keys are hashes of: the first cut, and the cuts of keys that are hot.
 RUNS = (10, 40, WINDOW)
-#: Windows in a passage, and different passages of a key, at most; words in a shard, about.
-PIECE, HOT, SHARD_WORDS = 256, 1000, 1_000_000
+#: Windows in a passage at most; words in a shard, about, and bytes in a word.
+PIECE, SHARD_WORDS, WORD_BYTES = 256, 1_000_000, 6
 _CHUNK = 1 << 20
 _BYTE, _WORD = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1)
 
@@ -222,7 +223,8 @@ def _cut(pieces: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     ready, parts = [], []
     rows = _first_and_last(pieces.select("key", "digest", "words", F.col("doc_id").alias("first"), F.col("doc_id").alias("last")), "passages")
     for level, run in enumerate(RUNS[1:]):
-        hot = materialised(rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > HOT).select("key"), f"hot-{level}")
+        size = F.sum(F.octet_length("words"))
+        hot = materialised(rows.groupBy("key").agg(size.alias("size")).filter(F.col("size") > WORD_BYTES * SHARD_WORDS).select("key"), f"hot-{level}")
         if hot.isEmpty():
             break
         ready.append(rows.join(hot, "key", "left_anti").withColumn("level", F.lit(level)))
@@ -250,9 +252,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     for t in (anchors, shared, of):
         drop_table(spark, t)
     passages, parts = _cut(pieces)
-    words = passages.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    # at least a shard for each task; a word is some six bytes
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // (6 * SHARD_WORDS) + 1)
+    size = passages.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    # at least a shard for each task
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (WORD_BYTES * SHARD_WORDS) + 1)
     dealt = passages.select("level", "digest", "words", "first", "last", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
     found = materialised(dealt.groupBy("shard").applyInArrow(search_shard, _FOUND), "found")
     spans = found.filter(F.col("level") == len(parts)).drop("level")
