@@ -127,6 +127,17 @@ def random_rows(t):
     return files.random_rows(t.spark, 100)
 
 
+@R.add("io_random_nested", "SELECT 500::BIGINT AS n, true AS some_null, true AS some_known, true AS again")
+def random_nested(t):
+    """Rows of a nested schema: nulls in them, and the same rows when made again."""
+    kind = "b boolean, t tinyint, i int, l bigint, d double, m decimal(20, 4), s string, x binary, day date, ts timestamp, a array<struct<p: int, q: array<string>>>, k map<string, array<double>>"
+    make = lambda: files.random_rows(t.spark, 500, seed=4, schema=kind)
+    text = F.to_json(F.struct("*"))
+    one, two = make().select(text.alias("r")).agg(F.sum(F.xxhash64("r").cast("decimal(38,0)")).alias("x")), make().select(text.alias("r")).agg(F.sum(F.xxhash64("r").cast("decimal(38,0)")).alias("y"))
+    seen = make().agg(F.count("*").alias("n"), (F.count_if(F.col("i").isNull()) > 0).alias("some_null"), (F.count_if(F.size("k") > 0) > 0).alias("some_known"))
+    return seen.crossJoin(F.broadcast(one.crossJoin(F.broadcast(two)))).select("n", "some_null", "some_known", (F.col("x") == F.col("y")).alias("again"))
+
+
 def _versions(t):
     return t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("seq"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).alias("part"), F.col("l_suppkey").alias("supp"))
 

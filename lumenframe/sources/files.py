@@ -5,8 +5,9 @@ from __future__ import annotations
 from typing import Any, NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 FORMATS = ("parquet", "orc", "csv", "text", "json")
@@ -78,7 +79,42 @@ def from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
     return spark.createDataFrame(table)
 
 
-def random_rows(spark: SparkSession, n: int, seed: int = 0, nulls: float = 0.1) -> DataFrame:
-    """Random rows of common types, made on the executors."""
+def _random(kind: T.DataType, nulls: float, path: list[Column]) -> Column:
+    """A value of any type that follows from a row's number and the value's place: the same on each run."""
+    bits = F.xxhash64(*path)
+    unit = F.pmod(bits, F.lit(1 << 40)) / float(1 << 40)
+    below = lambda n: F.pmod(bits, F.lit(n))
+    inner = lambda k, n, *more: _random(k, n, [*path, *more])
+    places = F.sequence(F.lit(0), below(4).cast("int"))
+    if isinstance(kind, T.StructType):
+        value = F.struct(*(inner(f.dataType, nulls, F.lit(i)).alias(f.name) for i, f in enumerate(kind.fields)))
+    elif isinstance(kind, T.ArrayType):
+        value = F.transform(places, lambda i: inner(kind.elementType, nulls, i))
+    elif isinstance(kind, T.MapType):
+        keys = F.array_distinct(F.transform(places, lambda i: inner(kind.keyType, 0.0, i)))
+        value = F.map_from_arrays(keys, F.transform(keys, lambda k, i: inner(kind.valueType, nulls, i, F.lit("v"))))
+    elif isinstance(kind, T.StringType):
+        value = F.md5(bits.cast("string"))
+    elif isinstance(kind, T.BinaryType):
+        value = F.unhex(F.md5(bits.cast("string")))
+    elif isinstance(kind, T.BooleanType):
+        value = below(2) == 1
+    elif isinstance(kind, T.DecimalType):
+        value = (F.pmod(bits, F.lit(10 ** min(kind.precision, 18))).cast("decimal(38,0)") / F.lit(10**kind.scale).cast("decimal(38,0)")).cast(kind)
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        value = F.timestamp_seconds(below(2**32)).cast(kind)
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        value = ((unit - 0.5) * 2e6).cast(kind)
+    else:
+        most = {"byte": 2**7, "short": 2**15, "integer": 2**31}.get(kind.typeName())
+        value = (bits if most is None else below(2 * most) - most).cast(kind)
+    return F.when(F.pmod(F.xxhash64(F.lit("null"), *path), F.lit(1000)) >= int(nulls * 1000), value) if nulls else value
+
+
+def random_rows(spark: SparkSession, n: int, seed: int = 0, nulls: float = 0.1, schema: StructType | str | None = None) -> DataFrame:
+    """Random rows, made on the executors: of a schema with any nesting, or of common types."""
+    if schema is not None:
+        wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return spark.range(n).select(*(_random(f.dataType, nulls, [F.col("id"), F.lit(seed), F.lit(i)]).alias(f.name) for i, f in enumerate(wanted.fields)))
     some = lambda c, k: F.when(F.rand(seed + k) >= nulls, c)
     return spark.range(n).select("id", some((F.rand(seed + 1) * 1000).cast("int"), 10).alias("i"), some(F.randn(seed + 2), 11).alias("d"), some(F.md5((F.rand(seed + 3) * 100).cast("int").cast("string")), 12).alias("s"), some(F.rand(seed + 4) < 0.5, 13).alias("b"))
