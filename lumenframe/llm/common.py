@@ -3,11 +3,14 @@ the fixed train/holdout split, and a folder that every executor can see."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: White space that parts words, as in ``[^\x20\x09-\x0D]+``. ``bytes.split()`` parts at the same six bytes.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes, about, of a batch of rows on its way to Python: the JVM holds each batch several times outside its heap.
+BATCH_BYTES = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +28,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
-    """The two columns that operators on texts need, whatever else the table holds."""
+    """The two columns that operators on texts need, whatever else the table holds; from here on they go to Python in small batches."""
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch by BATCH_BYTES, unless the session has a bound of its own. It stays: results are read later."""
+    if (bound := "spark.sql.execution.arrow.maxBytesPerBatch") not in spark.conf.getAll:
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Afterwards the memory that this Python worker has freed is the system's again: idle workers live on beside the next stages."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        _trim()(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, for ``mapInArrow``, with its memory released at the end of each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with released():
+            yield from run(batches)
+
+    return task
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, drop_table, id_and_text, materialised, mix64
+from .common import documents, drop_table, id_and_text, lean, materialised, mix64, released
 from .fm_index import FMIndex
 
 WINDOW = 50
@@ -213,6 +213,12 @@ def search_shard(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["level", "digest", "spans"])
 
 
+def searched(table: pa.Table) -> pa.Table:
+    """``search_shard``, with the index's memory released."""
+    with released():
+        return search_shard(table)
+
+
 def _first_and_last(passages: DataFrame, name: str) -> DataFrame:
     """Different passages (key, digest, words) with the least and greatest document of each."""
     return materialised(passages.groupBy("key", "digest", "words").agg(F.min("first").alias("first"), F.max("last").alias("last")), name)
@@ -228,7 +234,7 @@ def _cut(pieces: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if hot.isEmpty():
             break
         ready.append(rows.join(hot, "key", "left_anti").withColumn("level", F.lit(level)))
-        children = materialised(rows.join(hot, "key", "left_semi").mapInArrow(_recut(run), _CHILDREN), f"cut-{level}")
+        children = materialised(rows.join(hot, "key", "left_semi").mapInArrow(lean(_recut(run)), _CHILDREN), f"cut-{level}")
         parts.append(children.select("digest", "parent", "shift"))
         rows = _first_and_last(children, f"passages-{level + 1}")
         # a finer key that one document alone has is no longer of use
@@ -245,10 +251,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, passages): for each document that has words to lose, passages (at, n, digest) and in each the spans (shift, n) of windows. docs: doc_id, text."""
     spark = docs.sparkSession
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = materialised(docs.mapInArrow(_anchors, "anchor long, doc_id long"), "anchors")
+    anchors = materialised(docs.mapInArrow(lean(_anchors), "anchor long, doc_id long"), "anchors")
     shared = materialised(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor"), "shared")
     of = materialised(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "of")
-    pieces = materialised(docs.join(of, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_pieces, _PIECES), "pieces")
+    pieces = materialised(docs.join(of, "doc_id").select("doc_id", "text", "anchors").mapInArrow(lean(_pieces), _PIECES), "pieces")
     for t in (anchors, shared, of):
         drop_table(spark, t)
     passages, parts = _cut(pieces)
@@ -256,7 +262,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # at least a shard for each task
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (WORD_BYTES * SHARD_WORDS) + 1)
     dealt = passages.select("level", "digest", "words", "first", "last", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
-    found = materialised(dealt.groupBy("shard").applyInArrow(search_shard, _FOUND), "found")
+    found = materialised(dealt.groupBy("shard").applyInArrow(searched, _FOUND), "found")
     spans = found.filter(F.col("level") == len(parts)).drop("level")
     for level in reversed(range(len(parts))):
         moved = F.transform("spans", lambda s: F.struct((s["shift"] + F.col("shift")).alias("shift"), s["n"], s["least"]))
@@ -297,7 +303,7 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     met = docs.join(repeated_passages(docs), "doc_id", "left").select("doc_id", "text", "passages")
-    return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return met.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
@@ -314,14 +320,15 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     @F.arrow_udf("string")
     def kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for x, s in zip(texts, spans.to_pylist(), strict=True):
-            text = x.as_py()
-            if s and text:
-                words = text.encode().split()
-                keep = keep_mask(words, s)
-                if not keep.all():
-                    text = b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode()
-            out.append(text)
+        with released():
+            for x, s in zip(texts, spans.to_pylist(), strict=True):
+                text = x.as_py()
+                if s and text:
+                    words = text.encode().split()
+                    keep = keep_mask(words, s)
+                    if not keep.all():
+                        text = b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode()
+                out.append(text)
         return pa.array(out, pa.string())
 
     met = docs.join(found, docs["doc_id"].cast("long") == F.col(f"`{key}`"), "left")

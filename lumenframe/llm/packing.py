@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import crc32_of, documents, id_and_text
+from .common import crc32_of, documents, id_and_text, lean
 from .tokens import for_a_task, in_groups, piece_encoder, vocabulary_path
 
 WINDOW = 1024
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = WINDOW, end_id: int = 0)
                 pa.array(np.array(windows[i : i + 50_000], np.int64) + (first + opened)), pa.array(offsets[i : i + 50_000], pa.int64()),
             ], schema=_ARROW)
 
-    return id_and_text(docs).mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(lean(run), SCHEMA)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

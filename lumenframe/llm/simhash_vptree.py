@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, documents, drop_table, id_and_text, materialised
+from .common import blobs, documents, drop_table, id_and_text, lean, materialised, released
 from .components import components
 
 LINK = 3
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint(x, shingle) for x in blobs(b)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -220,11 +220,12 @@ def links(distinct: DataFrame, link: int = LINK) -> DataFrame:
 
     def join(table: pa.Table) -> pa.Table:
         fps, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy()
-        roots = leaf_forest(fps, home, link)
+        with released():
+            roots = leaf_forest(fps, home, link)
         own = np.flatnonzero(roots != np.arange(len(fps)))
         return pa.Table.from_arrays([pa.array(fps[own].view(np.int64)), pa.array(fps[roots[own]].view(np.int64))], names=["u", "v"])
 
-    return distinct.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean").groupBy("leaf").applyInArrow(join, "u long, v long")
+    return distinct.select("fp").mapInArrow(lean(deal), "leaf long, fp long, home boolean").groupBy("leaf").applyInArrow(join, "u long, v long")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

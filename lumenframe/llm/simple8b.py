@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, id_and_text, shared_dir
+from .common import crc32_of, id_and_text, lean, shared_dir
 from .tokens import for_a_task, in_groups, piece_encoder, vocabulary_path
 
 MAGIC = b"LFS8B001"
@@ -224,7 +224,7 @@ def read_token_files(spark, files: list[tuple[int, str, int, int]], with_ids: bo
                         yield pa.RecordBatch.from_arrays(columns, names=names)
 
     paths = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
-    return paths.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return paths.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op2_simple8b(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
+
+from .common import released
 
 #: Bytes, about, in each of the two generations of pieces that a Python worker remembers while a task lasts.
 CACHE_BYTES = 48_000_000
@@ -152,11 +153,11 @@ class PieceEncoder:
 @contextmanager
 def for_a_task(cache):
     """Has the cache forget its pieces when the task ends: an idle worker keeps no memory from the stages that need it."""
-    try:
-        yield cache
-    finally:
-        cache.forget()
-        pa.default_memory_pool().release_unused()
+    with released():
+        try:
+            yield cache
+        finally:
+            cache.forget()
 
 
 def in_groups(items, size_of, limit: int = 4_000_000):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, documents, id_and_text, materialised, own_name
+from .common import crc32_mod, documents, id_and_text, lean, materialised, own_name, released
 from .learning import CLASSES, class_counts, labelled_sample, one_per_id, sigmoid
 
 THRESHOLD = 0.5
@@ -198,7 +198,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["key", "before"])
 
-    toxic = sample.filter("label = 1").select("text").mapInArrow(contexts, "key string, before string")
+    toxic = sample.filter("label = 1").select("text").mapInArrow(lean(contexts), "key string, before string")
     toxic = toxic.distinct().groupBy("key").agg(F.count("*").alias("often")).filter(F.col("often") >= CONTEXTS)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +218,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         yield summed()
 
     of = lambda k: F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}")
-    texts = materialised(sample.select("label", "text").mapInArrow(occurrences, "label int, key string, n long").groupBy("key").agg(of(0), of(1)), "keys")
+    texts = materialised(sample.select("label", "text").mapInArrow(lean(occurrences), "label int, key string, n long").groupBy("key").agg(of(0), of(1)), "keys")
     total = texts.filter("key = ''").first()
     if total is None:
         return {}
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple | None:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([of(x.as_py() or "") for x in b.column("text")], pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    rows = one_per_id(sample.mapInArrow(run, "doc_id long, label int, x array<double>")).toArrow()
+    rows = one_per_id(sample.mapInArrow(lean(run), "doc_id long, label int, x array<double>")).toArrow()
     if rows.num_rows == 0:
         return None
     doc, label = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy().astype(float)
@@ -261,12 +261,14 @@ def scorer(model: tuple | None):
     @F.arrow_udf("double")
     def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = Featurizer(model[0]) if model else None
-        for texts in batches:
-            if model is None:
-                yield pa.array(np.zeros(len(texts)))
-                continue
-            x = np.array([of(t.as_py() or "") for t in texts]).reshape(len(texts), N_FEATURES)
-            yield pa.array(np.interp(model[1].decision(x), *model[2]))
+        with released():
+            for texts in batches:
+                if model is None:
+                    yield pa.array(np.zeros(len(texts)))
+                    continue
+                x = np.array([of(t.as_py() or "") for t in texts]).reshape(len(texts), N_FEATURES)
+                yield pa.array(np.interp(model[1].decision(x), *model[2]))
+            of = None
 
     return toxicity
 
