@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_of, id_and_text, lean, shared_dir
-from .tokens import for_a_task, in_groups, piece_encoder, vocabulary_path
+from .tokens import GROUP, for_a_task, in_groups, piece_encoder, vocabulary_path
 
 MAGIC = b"LFS8B001"
 #: Ids in a block, unless one document is longer.
@@ -178,7 +178,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         def encoded(encoder):
             for batch in batches:
                 rows = ((i.as_py(), t.as_py() or "") for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True))
-                for group in in_groups(rows, lambda r: len(r[1]), 1_000_000):
+                for group in in_groups(rows, lambda r: len(r[1]), GROUP):
                     for (doc, _), ids in zip(group, encoder.encode_many([t for _, t in group]), strict=True):
                         yield doc, np.frombuffer(ids + end, "<u4").astype(np.uint64)
 

@@ -2,22 +2,25 @@
 
 The byte-level vocabulary splits text before merging, and its pattern never
 matches across the point between a non-space character and one single space or
-line break that is followed by a non-space character. A text whose white space
-is of that kind only is therefore the concatenation of pieces ``" word"`` and
-``"\nword"`` that are encoded independently; each distinct piece is encoded once
-by the library and remembered. Any other text (runs of spaces, tabs, special
+line break that is followed by a non-space character, nor between a letter and a
+full stop or comma. A text whose white space is of that kind only is therefore the
+concatenation of pieces ``" word"``, ``"\nword"`` and ``"."`` that are encoded
+independently. Arrow finds the distinct pieces of many texts, each new one is
+encoded once by the library and remembered, and array operations put the ids
+together. Any other text (runs of spaces, tabs, other white space, special
 strings) goes to the library whole. Little-endian machines are assumed.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 from array import array
 from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import released
 
@@ -29,8 +32,12 @@ ENTRY_BYTES = 180
 CALL_TEXTS = 4096
 #: Pieces joined into one text.
 JOINED = 500
-#: Signs that end a word and are matches of their own.
-STOPS = ".,"
+#: Characters of the texts that are cut and encoded together.
+GROUP = 8_000_000
+#: White space of any Unicode version besides single spaces and line breaks between words: such a text goes to the library whole.
+ODD = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]|[ \n]$"
+#: By byte: white space, letters, and signs that end a word and start a match of their own.
+WHITE, LETTER, STOP = (np.isin(np.arange(256), list(x)) for x in (b" \n", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b".,"))
 #: How the byte-level vocabulary writes a space and a line break.
 SPACE_SIGNS = "\u0120\u010a"
 
@@ -55,6 +62,36 @@ def pieces(text: str, special: tuple[str, ...] = ()) -> list[str] | None:
     return parts
 
 
+def gather(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of ids from each start on, one after the other."""
+    ends = np.cumsum(counts)
+    at = np.repeat(starts - ends + counts, counts)
+    at += np.arange(len(at))
+    return ids[at]
+
+
+class Known:
+    """Pieces and their ids, as columns."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.starts, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 where there is none."""
+        if not len(self):
+            return np.full(len(words), -1)
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Words that are not in it yet."""
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.words, self.ids, self.counts = pa.concat_arrays([self.words, words]), np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+
+
 class PieceEncoder:
     """Encodes texts to ids, packed as little-endian unsigned 32-bit integers."""
 
@@ -64,11 +101,8 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         #: texts that hold one of these are encoded whole
-        self.whole = (*(x.content for x in self.tokenizer.get_added_tokens_decoder().values()), "\x00")
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.bytes = 0
-        self.stops = dict(zip(STOPS, self._library(list(STOPS)), strict=True))
+        self.whole = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.forget()
         #: whether a token starts with a space or line break, by id
         self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -81,73 +115,102 @@ class PieceEncoder:
                 out.append(array("I", e.ids).tobytes())
         return out
 
-    def _apart(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces that start with a space or line break: encoded joined, then cut where a token starts so.
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has."""
+        ids = self._library(words)
+        return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+
+    def _apart(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of pieces that start with a space or line break: encoded joined, then cut where a token starts so.
 
         No token inside such a piece starts with white space, so the cuts are the pieces' starts.
         """
-        out: list[bytes] = []
-        joined = ["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
-        for k, ids in enumerate(self._library(joined)):
-            cuts = np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")]) * 4
-            group = words[k * JOINED : (k + 1) * JOINED]
-            if len(cuts) != len(group):
-                out += self._library(group)
+        offsets, data = _offsets(words), words.buffers()[2]
+        edges = [*range(0, len(words), JOINED), len(words)]
+        joined = [str(memoryview(data)[offsets[i] : offsets[j]], "utf-8") for i, j in zip(edges, edges[1:], strict=False)]
+        ids, counts = [], []
+        for k, x in enumerate(self._library(joined)):
+            group = np.frombuffer(x, "<u4")
+            cuts = np.flatnonzero(self.opens[group])
+            n = edges[k + 1] - edges[k]
+            if len(cuts) == n and not cuts[0]:
+                count = np.diff(cuts, append=len(group))
+            else:
+                group, count = self._singly(words[edges[k] : edges[k + 1]].to_pylist())
+            ids.append(group)
+            counts.append(count)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _remember(self, words: pa.Array) -> np.ndarray:
+        """The place of each of the distinct words among the known pieces; those that are new go to the library together."""
+        if self.bytes > CACHE_BYTES:
+            # what is still in use comes back from the generation before without being encoded again
+            self.before, self.known, self.bytes = self.known, Known(), 0
+        place = self.known.find(words)
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return place
+        fresh = words.take(pa.array(new))
+        at, known = len(self.known), self.known
+        self.bytes += 3 * int(np.diff(_offsets(fresh)[[0, -1]])[0]) + ENTRY_BYTES * len(fresh)
+        old = self.before.find(fresh)
+        opens = pc.match_substring_regex(fresh, r"^[ \n]").to_numpy(zero_copy_only=False)
+        kinds = [np.flatnonzero(old >= 0), np.flatnonzero((old < 0) & opens), np.flatnonzero((old < 0) & ~opens)]
+        for rows, kind in zip(kinds, ("again", "apart", "singly"), strict=True):
+            if not len(rows):
                 continue
-            ends = [*cuts[1:].tolist(), len(ids)]
-            out += [ids[i:j] for i, j in zip(cuts.tolist(), ends, strict=True)]
-        return out
+            part = fresh.take(pa.array(rows))
+            if kind == "again":
+                counts = self.before.counts[old[rows]]
+                ids = gather(self.before.ids, self.before.starts[old[rows]], counts)
+            else:
+                ids, counts = self._apart(part) if kind == "apart" else self._singly(part.to_pylist())
+            known.add(part, ids, counts)
+            place[new[rows]] = np.arange(at, at + len(rows))
+            at += len(rows)
+        return place
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that are not empty and whose white space is as it should be."""
+        offsets = _offsets(texts)
+        first = offsets[0]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[first : offsets[-1]]
+        starts = WHITE[data]
+        starts[1:] |= STOP[data[1:]] & LETTER[data[:-1]]
+        starts[offsets[:-1] - first] = True
+        edges = np.append(np.flatnonzero(starts), len(data))
+        del starts
+        cut = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(data)).dictionary_encode()
+        place = self._remember(cut.dictionary)[cut.indices.to_numpy()]
+        counts = self.known.counts[place]
+        ids = gather(self.known.ids, self.known.starts[place], counts)
+        # ids before each text: those before its first piece
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(edges, offsets - first)].tolist()
+        raw = ids.astype("<u4", copy=False).tobytes()
+        return [raw[4 * i : 4 * j] for i, j in zip(ends, ends[1:], strict=False)]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the pieces that are new go to the library together."""
-        collecting = gc.isenabled()
-        gc.disable()  # many small objects and no cycles
-        try:
-            return self._encode_many(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode_many(self, texts: list[str]) -> list[bytes]:
-        known, new, heads, cut = self.known, set(), set(), []
-        if self.bytes > CACHE_BYTES:
-            # what is still in use comes back from the generation before without being encoded again
-            self.before, self.known, self.bytes = known, {}, 0
-            known = self.known
-        for text in texts:
-            parts = pieces(text, self.whole) if text else []
-            if parts:
-                # the key of a word is the word; the first one, which has no space before it, is marked
-                if parts[0][0] != "\n":
-                    parts[0] = "\x00" + parts[0]
-                    heads.add(parts[0])
-                new |= set(parts).difference(known)
-            cut.append(parts)
-        if new:
-            self.bytes += 3 * sum(map(len, new)) + ENTRY_BYTES * len(new)
-            before = self.before
-            if before:
-                again = [p for p in new if p in before]
-                known.update([(p, before[p]) for p in again])
-                new.difference_update(again)
-            heads &= new
-            new -= heads
-            # letters and one full stop or comma: two matches of the pattern, so the word itself is looked up
-            stopped = [p for p in new if p[-1] in STOPS and p[:-1].isalpha()]
-            new.difference_update(stopped)
-            new |= {p[:-1] for p in stopped}.difference(known)
-            order = list(new)
-            known.update(zip(order, self._apart([p if p[0] == "\n" else f" {p}" for p in order]), strict=True))
-            known.update([(p, known[p[:-1]] + self.stops[p[-1]]) for p in stopped])
-            order = list(heads)
-            known.update(zip(order, self._library([p[1:] for p in order]), strict=True))
-        return [self._library([t])[0] if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, cut, strict=True)]
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, ODD)
+        for x in self.whole:
+            odd = pc.or_(odd, pc.match_substring(column, x))
+        odd = odd.to_numpy(zero_copy_only=False)
+        plain = ~odd & (pc.binary_length(column).to_numpy() > 0)
+        cut = iter(self._cut(column.filter(pa.array(plain))) if plain.any() else ())
+        whole = iter(self._library([t for t, o in zip(texts, odd.tolist(), strict=True) if o]))
+        return [next(cut) if p else next(whole) if o else b"" for p, o in zip(plain.tolist(), odd.tolist(), strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
     def forget(self) -> None:
-        self.known, self.before, self.bytes = {}, {}, 0
+        self.known, self.before, self.bytes = Known(), Known(), 0
+
+
+def _offsets(strings: pa.Array) -> np.ndarray:
+    """Where each string starts in the data, and where the last one ends."""
+    return np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
 
 
 @contextmanager
