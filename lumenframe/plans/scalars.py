@@ -20,11 +20,15 @@ R.columns("fn_arithmetic", NUMS, {
     "truncate": ("CASE WHEN p < 0 THEN ceil(p * 10) / 10 ELSE floor(p * 10) / 10 END", "trunc(p * 10) / 10"), "factorial": ("factorial(n)", "factorial(n)::BIGINT"), "is_nan": "isnan(q)",
 }, "id")
 r9 = lambda x: f"round({x}, 9)"
+# the SQL's logarithms of 0 and below are -Infinity and NaN, Spark's are null
+of = lambda log, x: r9(f"CASE WHEN {x} > 0 THEN {log} WHEN {x} = 0 THEN double('-Infinity') WHEN {x} < 0 THEN double('NaN') END")
 R.columns("fn_math", NUMS, {
     **{f: r9(f"{f}(d)") for f in "exp sin cos tan asin acos atan sinh cosh tanh sqrt cbrt degrees radians asinh".split()},
-    "expm1": (r9("expm1(d)"), r9("exp(d) - 1")), "log1p": (r9("log1p(d)"), r9("ln(1 + d)")), "ln": r9("ln(q)"), "log2": r9("log2(q)"), "log10": r9("log10(q)"), "log_base": r9("log(3, q)"),
+    "expm1": (r9("expm1(d)"), r9("exp(d) - 1")), "log1p": (of("log1p(d)", "(1 + d)"), r9("ln(1 + d)")), **{k: (of(v, "q"), r9(v)) for k, v in {"ln": "ln(q)", "log2": "log2(q)", "log10": "log10(q)", "log_base": "log(3, q)"}.items()},
     "atan2": r9("atan2(d, q)"), "pow": r9("pow(q, 0.5)"), "acosh": r9("acosh(q)"), "atanh": r9("atanh(d)"), "cot": r9("cot(q)"), "sec": (r9("sec(d)"), r9("1 / cos(d)")), "csc": (r9("csc(q)"), r9("1 / sin(q)")),
-    "hypot": (r9("hypot(q, d)"), r9("sqrt(q * q + d * d)")), "rint": ("rint(p)", "round_even(p, 0)"), "pi": "pi()", "e": ("e()", "exp(1.0)"), "width_bucket": ("width_bucket(q, 0, 50, 5)", "least(floor(q / 10), 5)::BIGINT + 1"),
+    "hypot": (r9("CASE WHEN isnan(abs(q) + abs(d)) THEN double('NaN') ELSE hypot(q, d) END"), r9("sqrt(q * q + d * d)")), "rint": ("rint(p)", "round_even(p, 0)"), "pi": "pi()", "e": ("e()", "exp(1.0)"),
+    # outside the buckets, of null and of NaN, as the SQL has it
+    "width_bucket": ("CASE WHEN q BETWEEN 0 AND 50 THEN width_bucket(q, 0, 50, 5) WHEN q < 0 THEN CAST(floor(q / 10) AS BIGINT) + 1 ELSE 6 END", "least(floor(q / 10), 5)::BIGINT + 1"),
     "width_bucket_array": ("size(filter(array(5.0D, 10.0D, 40.0D), b -> b <= q))", "len(list_filter([5.0, 10.0, 40.0], lambda b: b <= q))::INTEGER"),
     "infinity": ("double('Infinity')", "'inf'::DOUBLE"), "is_finite": ("NOT isnan(q) AND abs(q) < double('Infinity')", "isfinite(q)"), "is_infinite": ("abs(q) = double('Infinity')", "isinf(q)"),
 }, "id")
